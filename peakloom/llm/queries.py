@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import media, mixing, pii, rules, tokens
+from peakloom.llm import dedup, langid, media, mixing, packing, pages, pii, quality, rules, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_table(spark, sf_dir, "documents"))
 
@@ -30,13 +38,25 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", *rules.FIGURES, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii, op3_mixing, op5_media, op6_tokens, op10_rules)
+    own = (op1_pii, op2_packing, op3_mixing, op4_near_dedup, op5_media, op6_tokens, op7_pages, op8_quality, op9_language, op10_rules)
     return {f.__name__: f for f in own}
 
 
