@@ -322,7 +322,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their group, with their columns as they were: one document of each group
-    of copies and near copies, and each document that has no words."""
-    found = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of docs of each group of copies and near copies (the one with the smallest id, nulls last, and one of
+    those if the id repeats), and each row that has no words, with their columns as they were."""
+    plain = [f"__c{i}" for i in range(len(docs.columns))]
+    names = dict(zip(docs.columns, plain, strict=True))
+    rows = stored(docs.toDF(*plain).withColumn("__row", F.monotonically_increasing_id()))
+    groups = near_duplicates(rows, "__row", names[text_col]).select(F.col("doc_id").alias("__member"), "component_id")
+    ids = rows.select("__row", F.col(names[id_col]).alias("__id")).join(groups, F.col("__row") == F.col("__member"))
+    first = F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("first")
+    kept = cut(ids.groupBy("component_id").agg(first).select(F.col("first.__row").alias("__kept")))
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*plain).toDF(*docs.columns)
