@@ -193,5 +193,10 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     names = dict(zip(docs.columns, plain, strict=True))
     make = lambda keep: figures(work, names[id_col], names[text_col], keep)
     model = fit(make(()))
-    out = judge(make(plain), model).where("kept")
+    figured = make(plain)
+    # inline() stands between the figures and the filter, which else would be rewritten over their expressions, each
+    # of them repeated wherever the posterior mentions it
+    marks = [c for c in figured.columns if c not in plain and c != "doc_id"]
+    figured = figured.select("doc_id", *[c for c in figured.columns if c in plain], F.inline(F.array(F.struct(*marks))))
+    out = judge(figured, model).where("kept")
     return out.select(*[F.col("doc_id" if c == names[id_col] else c).alias(o) for o, c in zip(docs.columns, plain, strict=True)])
