@@ -27,7 +27,7 @@ def _binned(df: DataFrame, lead: str, rows_per_bin: int) -> DataFrame:
     if bins == 1 or low is None or high <= low:
         return df.withColumn("__bin", F.lit(0).cast("long"))
     at = F.floor((_lead(df, lead) - F.lit(low)) * (bins / (high - low)))
-    return df.withColumn("__bin", F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(-1)).cast("long"))
+    return df.withColumn("__bin", F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(F.least(at, F.lit(bins - 1))).cast("long"))
 
 
 def running_sums(df: DataFrame, by: list[str], sums: dict[str, Column], rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:

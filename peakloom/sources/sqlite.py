@@ -38,7 +38,7 @@ class SQLiteReader(DataSourceReader):
         with _open(self.path) as db:
             low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
         if low is None:
-            return []
+            return [RowRange(0, -1)]
         step = -(-(high - low + 1) // max(1, self.parts))
         return [RowRange(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
 
