@@ -176,7 +176,8 @@ def pii_digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs with personal data in the text replaced; all other columns as they were."""
-    at, schema = docs.columns.index(text_col), docs.schema
+    at, names = docs.columns.index(text_col), docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with a dot would be taken apart
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +185,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = pa.array([redacted(t) for t in batch.column(at).to_pylist()], own)
             yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(batch.num_columns)], batch.schema.names)
 
-    return docs.mapInArrow(clean, schema)
+    return docs.mapInArrow(clean, docs.schema).toDF(*names)
 
 
 def digest_of(text: str | None) -> str:

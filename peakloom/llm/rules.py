@@ -90,37 +90,41 @@ def _share(top: str, bottom: str) -> Column:
     return F.col(top) / F.greatest(F.col(bottom), F.lit(1))
 
 
-def votes() -> dict[str, tuple[int, Column]]:
-    """Each rule's vote (1 good, -1 bad) and when it votes, over the columns of figures(). Else it abstains: a text
-    without many symbols isn't thereby good."""
+#: Each rule's vote when it votes: 1 good, -1 bad. Else it abstains: a text without many symbols isn't thereby good.
+SIGNS = {"word_length": -1, "symbols": -1, "capitals": -1, "lines_twice": -1, "words_repeated": -1, "no_sentences": -1, "sentences": 1, "function_words": 1}
+RULES = tuple(SIGNS)
+
+
+def votes() -> dict[str, Column]:
+    """When each rule votes, over the columns of figures()."""
     length, symbols = _share("word_chars", "n_words"), _share("n_symbols", "n_words")
     capitals, stops = _share("n_capital_runs", "n_words"), _share("n_stops", "n_words")
     twice, repeated = _share("n_dup_lines", "n_lines"), _share("n_repeat_words", "n_words")
     return {
-        "word_length": (-1, (length < 2) | (length > 14)),
-        "symbols": (-1, symbols > 0.1),
-        "capitals": (-1, capitals > 0.3),
-        "lines_twice": (-1, twice > 0.4),
-        "words_repeated": (-1, repeated > 0.3),
-        "no_sentences": (-1, (F.col("n_words") >= 100) & (stops < 0.004)),
-        "sentences": (1, (stops >= 0.02) & (stops <= 0.5)),
-        "function_words": (1, F.col("n_function_words") >= 4),
+        "word_length": (length < 2) | (length > 14),
+        "symbols": symbols > 0.1,
+        "capitals": capitals > 0.3,
+        "lines_twice": twice > 0.4,
+        "words_repeated": repeated > 0.3,
+        "no_sentences": (F.col("n_words") >= 100) & (stops < 0.004),
+        "sentences": (stops >= 0.02) & (stops <= 0.5),
+        "function_words": F.col("n_function_words") >= 4,
     }
 
 
-RULES = tuple(votes())
-SIGNS = {k: sign for k, (sign, _) in votes().items()}
-
-
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+#: The share of good documents before any vote.
+PRIOR = 0.8
+
+
 @dataclass
 class VoteModel:
     """prior: share of good documents. right: how often each rule is right when it votes."""
 
-    prior: float = 0.8
+    prior: float = PRIOR
     right: dict[str, float] = field(default_factory=lambda: {k: 0.96 if s < 0 else 0.58 for k, s in SIGNS.items()})
 
     def weights(self) -> tuple[float, dict[str, float]]:
@@ -132,7 +136,7 @@ class VoteModel:
         """The probability of good over the columns of figures()."""
         start, each = self.weights()
         total = F.lit(start)
-        for k, (_, fires) in votes().items():
+        for k, fires in votes().items():
             total = total + F.when(fires, F.lit(each[k])).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
@@ -142,26 +146,26 @@ class VoteModel:
 BOUNDS = {-1: (0.94, 0.995), 1: (0.52, 0.62)}
 
 
-def fit_patterns(counts: dict[tuple[bool, ...], int], rounds: int = 200, tolerance: float = 1e-7) -> VoteModel:
-    """Expectation-maximisation over counts of patterns (which rules voted). Each estimate carries a few
-    pseudo-counts, so that rare votes can't reach certainty."""
-    model, total = VoteModel(), sum(counts.values())
-    if not total:
+def fit_patterns(counts: dict[tuple[bool, ...], int], prior: float = PRIOR, rounds: int = 200, tolerance: float = 1e-7) -> VoteModel:
+    """Expectation-maximisation over counts of patterns (which rules voted). The share of good documents is given: a
+    text of which no rule says anything carries no evidence on it. Each estimate carries a few pseudo-counts, so that
+    rare votes can't reach certainty."""
+    model = VoteModel(prior)
+    if not sum(counts.values()):
         return model
     for _ in range(rounds):
         start, each = model.weights()
-        good, right, voted = 0.0, dict.fromkeys(RULES, 2.7), dict.fromkeys(RULES, 3.0)
+        right, voted = dict.fromkeys(RULES, 2.7), dict.fromkeys(RULES, 3.0)
         for pattern, n in counts.items():
             odds = start + sum(each[k] for k, fired in zip(RULES, pattern, strict=True) if fired)
             p = 1 / (1 + math.exp(-odds))
-            good += n * p
             for k, fired in zip(RULES, pattern, strict=True):
                 if fired:
                     voted[k] += n
                     right[k] += n * (p if SIGNS[k] > 0 else 1 - p)
         hold = lambda k: min(BOUNDS[SIGNS[k]][1], max(BOUNDS[SIGNS[k]][0], right[k] / voted[k]))
-        new = VoteModel(min(0.85, max(0.5, good / total)), {k: hold(k) for k in RULES})
-        moved = abs(new.prior - model.prior) + sum(abs(new.right[k] - model.right[k]) for k in RULES)
+        new = VoteModel(prior, {k: hold(k) for k in RULES})
+        moved = sum(abs(new.right[k] - model.right[k]) for k in RULES)
         model = new
         if moved < tolerance:
             break
@@ -170,7 +174,7 @@ def fit_patterns(counts: dict[tuple[bool, ...], int], rounds: int = 200, toleran
 
 def fit(figured: DataFrame) -> VoteModel:
     """The model of a frame of figures. Comes to the driver: one row a vote pattern, 2 ** len(RULES) at most."""
-    rows = figured.select(*[v.alias(k) for k, (_, v) in votes().items()]).groupBy(*RULES).count().collect()
+    rows = figured.select(*[v.alias(k) for k, v in votes().items()]).groupBy(*RULES).count().collect()
     return fit_patterns({tuple(r[k] for k in RULES): r["count"] for r in rows})
 
 
