@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def light(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """Of a kept frame of few narrow columns: marked for broadcast if it has at most so many rows (some 16 MB of two
+    numbers each), so that the other side of a join, which may hold texts, isn't shuffled; else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices, so that a task's Python objects are those of a few rows; gives memory back at the end."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def text_of(name: str) -> Column:
     """The column, with null as the empty text."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import cut, shingle_hashes, stored, text_of
+from peakloom.llm.common import cut, in_slices, light, shingle_hashes, stored, text_of
 from peakloom.llm.graph import components
 
 SHINGLE = 5
@@ -103,7 +103,7 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_id long, registers binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             n, ids, regs, keys = [], [], [], []
             for data in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingle_hashes(data, size)
@@ -306,10 +306,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     """set_id, shingles (binary) of the wanted classes (node, first: an id of a document that has the set). Ids may
     repeat, or be null, so a class can come more than once or be found by its set only."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
-    found = rows.join(wanted.select(F.col("first").alias("__first")).distinct(), F.col("id").eqNullSafe(F.col("__first")), "left_semi").select("text")
+    firsts = light(cut(wanted.select(F.col("first").alias("__first")).distinct()))
+    found = rows.join(firsts, F.col("id").eqNullSafe(F.col("__first")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, out = [], []
             for data in batch.column(0).cast(pa.binary()).to_pylist():
                 s = shingle_hashes(data, size)
@@ -330,5 +331,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups = near_duplicates(rows, "__row", names[text_col]).select(F.col("doc_id").alias("__member"), "component_id")
     ids = rows.select("__row", F.col(names[id_col]).alias("__id")).join(groups, F.col("__row") == F.col("__member"))
     first = F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("first")
-    kept = cut(ids.groupBy("component_id").agg(first).select(F.col("first.__row").alias("__kept")))
-    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*plain).toDF(*docs.columns)
+    kept = ids.groupBy("component_id").agg(first, F.count("*").alias("members")).where("members > 1")
+    dropped = ids.join(kept, "component_id").where(F.col("__row") != F.col("first.__row")).select(F.col("__row").alias("__dropped"))
+    return rows.join(light(cut(dropped)), F.col("__row") == F.col("__dropped"), "left_anti").select(*plain).toDF(*docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import text_of
+from peakloom.llm.common import in_slices, text_of
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -207,7 +207,7 @@ def describe(media: DataFrame, media_col: str = "media", id_col: str = "doc_id")
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in DESCRIBED.split(", ")]
         types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        for batch in batches:
+        for batch in in_slices(batches):
             out = [described(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[c] for o in out], t) for c, t in zip(names, types, strict=True)]], ["doc_id", *names])
 
@@ -220,11 +220,9 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, media binary"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                files = [store(padded(t)) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(files, pa.binary())], ["doc_id", "media"])
+        for batch in in_slices(batches):
+            files = [store(padded(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["doc_id", "media"])
 
     return rows.mapInArrow(make, schema)
 
@@ -253,7 +251,7 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = [x.split()[0] for x in columns.split(", ")]
-        for batch in batches:
+        for batch in in_slices(batches):
             made = [digest(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             values = zip(*made, strict=True) if made else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(v), k) for v, k in zip(values, kinds, strict=True)]], ["doc_id", *names])

@@ -5,7 +5,7 @@ excess goes to the others by weight. A target is so many whole passes over its s
 The fraction is a threshold on a 60-bit hash of each document: words are summed by source, size class and the first
 10 bits, the threshold falls into one bucket, and only that bucket is summed by the next 10 bits, and so on. Documents
 are never sorted: what lies below the threshold is taken, and a larger budget takes a superset. Size classes (powers
-of two) share the fraction, so that length doesn't bias the draw. At the last level the one open document of each
+of two) share the fraction, so that length doesn't bias the draw. At the end the one open document of each
 class is taken or left, large classes first, whichever brings the source's running sum nearer to its target.
 
 The last 20 bits of the hash come from the row's number (fixed once, in the kept table) instead of its content: only rows that are equal in every
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import WORD_CLASS, cut, stored, text_of
+from peakloom.llm.common import WORD_CLASS, cut, light, stored, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -83,33 +83,32 @@ def _prefix(level: int):
 def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """For each source and class the threshold: rows with a hash below it are taken once more than whole passes say,
     and rows with this very hash (there is one, but for hash collisions) are taken if take_edge. goals: source,
-    target, source_size. All tables here hold at most 2 ** BITS rows a source and class, and are kept in no driver."""
+    target, source_size. All tables here hold at most 2 ** BITS rows a source and class, and stay out of the driver."""
     share = F.col("target") / F.greatest("source_size", F.lit(1))
     goals = goals.select("source", (share - F.floor(share)).alias("part"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["class"] == b["class"])
-    hist = rows.groupBy("source", "class", _prefix(1).alias("bucket")).agg(F.sum("size").alias("words"))
-    sums = hist.groupBy("source", "class").agg(F.sum("words").alias("words"))
+    sums = rows.groupBy("source", "class").agg(F.sum("size").alias("words"))
+    on = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.class") == F.col(f"{b}.class"))
     state = cut(
         sums.join(goals, sums["source"].eqNullSafe(goals["source"]))
-        .select(sums["source"], "class", (F.col("words") * F.col("part")).alias("budget"), F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("below"))
+        .select(sums["source"], "class", (F.col("words") * F.col("part")).alias("budget"), F.lit(0).cast("long").alias("path"))
     )
     order = Window.partitionBy("source", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for level in range(1, LEVELS + 1):
-        if level > 1:
-            s = state.alias("s")
-            open_rows = rows.join(s, rows["source"].eqNullSafe(F.col("s.source")) & (rows["class"] == F.col("s.class")) & (_prefix(level - 1) == F.col("s.path")))
-            hist = open_rows.groupBy(rows["source"], rows["class"], _prefix(level).alias("bucket")).agg(F.sum("size").alias("words"))
+        s = light(state).alias("s")
+        own = rows if level == 1 else rows.alias("r").join(s, on("r", "s") & (_prefix(level - 1) == F.col("s.path"))).select("r.source", "r.class", "r.hash", "r.size")
+        hist = own.groupBy("source", "class", _prefix(level).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("hash").alias("one"))
         h = hist.withColumn("upto", F.sum("words").over(order)).alias("h")
-        s = state.alias("s")
         edge = (
-            h.join(s, F.col("h.source").eqNullSafe(F.col("s.source")) & (F.col("h.class") == F.col("s.class")))
+            h.join(s, on("h", "s"))
             .where(F.col("h.upto") > F.col("s.budget"))
             .groupBy("h.source", "h.class")
-            .agg(F.min(F.struct("h.bucket", (F.col("h.upto") - F.col("h.words")).alias("before"), "h.words", "s.budget", "s.below")).alias("e"))
-            .select("source", "class", F.col("e.bucket").alias("path"), (F.col("e.budget") - F.col("e.before")).alias("budget"), (F.col("e.below") + F.col("e.before")).alias("below"), F.col("e.words").alias("words"))
+            .agg(F.min(F.struct("h.bucket", (F.col("s.budget") - F.col("h.upto") + F.col("h.words")).alias("budget"), "h.words", "h.n", "h.one")).alias("e"))
+            .select("source", "class", F.col("e.bucket").alias("path"), "e.budget", "e.words", "e.n", "e.one")
         )
         state = cut(edge)
-    return state
+        if (state.agg(F.max("n")).first()[0] or 1) == 1:  # every open bucket is down to one row
+            break
+    return state.select("source", "class", F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("path")).alias("path"), "budget", "words")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -161,7 +160,7 @@ def mixed_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     )
     walked = grouped.withColumn("w", walked)
     plan = cut(walked.select("source", "source_size", "target", "passes", F.col("w.owed").alias("owed"), F.inline("w.out")))
-    joined = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.class") == F.col("p.class")))
+    joined = rows.alias("r").join(light(plan).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.class") == F.col("p.class")))
     extra = F.when(F.col("r.hash") < F.col("p.path"), F.lit(1)).when(F.col("r.hash") == F.col("p.path"), F.col("p.edge")).otherwise(F.lit(0))
     # Last touch: of each source one document, the one whose size is nearest to what is owed, once more or once less.
     able = F.when(F.col("p.owed") > 0, (extra == 0) & (F.col("p.passes") < most)).otherwise(extra == 1)
@@ -172,7 +171,7 @@ def mixed_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         .agg(F.min(F.struct(off.alias("off"), F.col("r.hash").alias("hash"), F.col("r.class").alias("class"), F.signum("p.owed").alias("sign"))).alias("t"))
         .select("source", "t.class", "t.hash", "t.sign")
     )
-    t = cut(touch).alias("t")
+    t = light(cut(touch)).alias("t")
     on = F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.class") == F.col("t.class")) & (F.col("r.hash") == F.col("t.hash"))
     copies = F.least(F.col("p.passes") + extra + F.coalesce("t.sign", F.lit(0)), F.lit(most)).cast("long")
     kept = [f"r.{c}" for c in ("doc", "doc_id", "source", "size") if c in rows.columns]

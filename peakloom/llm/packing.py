@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import cut, text_of
+from peakloom.llm.common import cut, in_slices, text_of
 from peakloom.llm.tokens import _ODD, byte_letters, default_tokenizer
 
 GROUPS = 512
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, id_col:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
+        for batch in in_slices(batches):
             at: list[int] = []
             out: list[tuple[int, int, int, int]] = []
             for k, text in enumerate(batch.column(1).to_pylist()):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import text_of
+from peakloom.llm.common import in_slices, text_of
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "card13", "national_id", "secret")
@@ -154,7 +154,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans array<struct<start:long,end:long,kind:string,score:double>>"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [[dict(zip(("start", "end", "kind", "score"), s, strict=True)) for s in spans(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, SPAN_TYPE)], ["doc_id", "spans"])
 
@@ -180,7 +180,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with a dot would be taken apart
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             own = batch.schema.field(at).type
             texts = pa.array([redacted(t) for t in batch.column(at).to_pylist()], own)
             yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(batch.num_columns)], batch.schema.names)

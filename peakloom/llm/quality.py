@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import crc_fold, text_of, word_hashes
+from peakloom.llm.common import crc_fold, in_slices, text_of, word_hashes
 
 POSITIVES = 4_000
 UNLABELLED = 8_000
@@ -151,7 +151,7 @@ def _sample(rows: DataFrame, n: int, most: int, salt: str) -> np.ndarray:
     chosen = rows.where(place < int(min(1.0, most / max(1, n)) * (1 << 30))).select(F.coalesce("text", F.lit("")).alias("text")).limit(2 * most)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], ["f"])
 
     got = sorted(bytes(r[0]) for r in chosen.mapInArrow(make, "f binary").collect())
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             values = shared.value.score(batch.column(1).to_pylist()).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import text_of
+from peakloom.llm.common import in_slices, text_of
 
 #: Outside these ranges, or at the listed control characters, a text is left to the library.
 _ODD = regex.compile(r"[\x1c-\x1f\x85ɐ-῿⁰-\U0010ffff]")
@@ -217,7 +217,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column(1)
             sizes = pa.compute.binary_length(texts).cast(pa.int64())
             tokens = pa.array([own.count(t) for t in texts.to_pylist()], pa.int64())
@@ -234,7 +234,7 @@ def truncated(docs: DataFrame, budget: int, tokenizer: str | None = None, id_col
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
-        for batch in batches:
+        for batch in in_slices(batches):
             cuts, counts = [], []
             for text in batch.column(1).to_pylist():
                 table = own.prefixes(text)
