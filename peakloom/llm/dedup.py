@@ -194,21 +194,18 @@ def _likely_pairs(block: pd.DataFrame, limit: float) -> list[tuple[int, int]]:
     block = block.drop_duplicates("set_id")
     ids, sizes = block["set_id"].to_numpy(), block["n"].to_numpy().astype(np.float64)
     regs = np.stack([np.frombuffer(x, np.uint16) for x in block["registers"]])
-    alike_a, alike_b = [], []
+    found = []
     for i in range(len(ids) - 1):
         others = regs[i + 1 :]
         equal = (others == regs[i]).sum(axis=1)
         near = np.flatnonzero(equal >= REGISTERS * (limit - 0.2))
         if len(near):
-            greater = (regs[i] > others[near]).sum(axis=1)
-            e = equal[near]
-            j = likely_similarity(greater, e, REGISTERS - e - greater, np.full(len(near), sizes[i]), sizes[i + 1 :][near])
-            hit = near[j >= limit] + i + 1
-            alike_a.append(np.full(len(hit), i))
-            alike_b.append(hit)
-    if not alike_a:
+            found.append((np.full(len(near), i), near + i + 1, equal[near], (regs[i] > others[near]).sum(axis=1)))
+    if not found:
         return []
-    return [(int(ids[a]), int(ids[b])) for a, b in forest(np.concatenate(alike_a), np.concatenate(alike_b), len(ids))]
+    a, b, equal, greater = (np.concatenate(x) for x in zip(*found, strict=True))
+    hit = likely_similarity(greater, equal, REGISTERS - equal - greater, sizes[a], sizes[b]) >= limit
+    return [(int(ids[x]), int(ids[y])) for x, y in forest(a[hit], b[hit], len(ids))]
 
 
 def _true_pairs(block: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
