@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakloom.functions import xmlparams
 from peakloom.operators.order import row_numbers
 from peakloom.operators.ranges import interpolated, stab_join
 
@@ -31,9 +32,23 @@ def main_precursor(spectra: DataFrame) -> DataFrame:
     return spectra.where(F.col("ms_level") > 1).select("id", ((F.col("iso_min") + F.col("iso_max")) / 2).alias("precursor_mz"))
 
 
+def selected_ion(spectra: DataFrame) -> DataFrame:
+    """The first selected ion of the precursor list (an XML column, precursor_list)."""
+    return spectra.where(F.col("ms_level") > 1).select("id", xmlparams.precursors(F.col("precursor_list"))["selected_mz"].alias("precursor_mz"))
+
+
+def vendor_monoisotopic(spectra: DataFrame, name: str = "[Thermo Trailer Extra]Monoisotopic M/Z:") -> DataFrame:
+    """The value of a user param of the first scan (an XML column, scan_list); 0 counts as missing."""
+    path = f"//scan[1]/userParam[@name='{name}']/@value"
+    value = F.get(F.xpath(F.col("scan_list"), F.lit(path)), 0).try_cast("double")
+    return spectra.where(F.col("ms_level") > 1).select("id", F.nullif(value, F.lit(0.0)).alias("precursor_mz"))
+
+
 #: Estimators by name: callables (spectra, peaks) that give (id, precursor_mz). Own ones can be added.
 ESTIMATORS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "main": lambda spectra, peaks: main_precursor(spectra),
+    "selected_ion": lambda spectra, peaks: selected_ion(spectra),
+    "vendor": lambda spectra, peaks: vendor_monoisotopic(spectra),
     "refined": lambda spectra, peaks: refined(spectra, peaks).select("id", F.col("refined_mz").alias("precursor_mz")),
 }
 

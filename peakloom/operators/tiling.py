@@ -80,6 +80,18 @@ def anchored_rows(spectra: DataFrame, width: float, group: list[str]) -> DataFra
     return own.groupBy(*group).applyInPandas(fold, schema)
 
 
+def dia_histogram(peaks: DataFrame, spectra: DataFrame, bin_size: float = 1.0) -> DataFrame:
+    """Summed intensity by isolation window and m/z bin (cut towards 0) of level 2 spectra; every peak counts."""
+    own = spectra.where("ms_level = 2").select("id", "iso_min")
+    at = F.floor(F.col("mz") / bin_size).cast("bigint")
+    return peaks.join(own, F.col("spectrum_id") == F.col("id")).groupBy("iso_min", at.alias("bin")).agg(F.sum("intensity").alias("intensity"))
+
+
+def write_histogram(histogram: DataFrame, path: str) -> None:
+    """As tab-separated text with a header, in the order of window and bin."""
+    histogram.repartitionByRange("iso_min", "bin").sortWithinPartitions("iso_min", "bin").write.option("sep", "\t").option("header", True).csv(path)
+
+
 def write_run(tiles: DataFrame, path: str) -> None:
     """A run as Parquet: folders by level, sorted by m/z bin, time row and spectrum, so that row groups act as tiles."""
     tiles.repartitionByRange("ms_level", "mz_bin").sortWithinPartitions("ms_level", "mz_bin", "rt_row", "spectrum_id", "mz").write.partitionBy("ms_level").parquet(path)

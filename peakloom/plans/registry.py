@@ -333,9 +333,7 @@ def dia_windows(s, d):
 
 @query(" SELECT iso_min, CAST(trunc(mz / 1.0) AS BIGINT) AS bin, sum(intensity) AS intensity FROM pk JOIN sp ON pk.spectrum_id = sp.id WHERE ms_level = 2 GROUP BY ALL")
 def dia_histogram(s, d):
-    p, h = _both(s, d)
-    own = h.where("ms_level = 2").select("id", "iso_min")
-    return p.join(own, F.col("spectrum_id") == F.col("id")).groupBy("iso_min", F.floor(F.col("mz")).cast("bigint").alias("bin")).agg(F.sum("intensity").alias("intensity"))
+    return tiling.dia_histogram(*_both(s, d))
 
 
 @query(" SELECT id, e.* FROM sp JOIN (VALUES ('F', 1, 'fitted', 64, 32), ('O', 2, 'centroid', 64, 32), ('P', 3, 'profile', 32, 32)) e(code, encoding_id, mode, mz_bits, intensity_bits) ON sp.encoding = e.code")
