@@ -81,6 +81,11 @@ def tables(path: str) -> list[str]:
     return [n for n in names if not n.startswith("sqlite_") and "rtree" not in n]
 
 
+def columns(path: str, name: str) -> list[str]:
+    with _open(path) as db:
+        return [c[1] for c in db.execute(f"PRAGMA table_info({_quoted(name)})")]
+
+
 def import_store(spark: SparkSession, path: str, target: str) -> list[str]:
     """All tables as Parquet below target; gives their names."""
     names = tables(path)

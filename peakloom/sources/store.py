@@ -23,7 +23,7 @@ from peakloom.sources.codec import Encoding, decode, encode
 
 #: Tables of a store that this module writes; a subset of the format's schema, with its names.
 SCHEMA = """
-CREATE TABLE mzdb (version TEXT, creation_timestamp TEXT, param_tree TEXT);
+CREATE TABLE header (version TEXT, creation_timestamp TEXT, param_tree TEXT);
 CREATE TABLE data_encoding (id INTEGER PRIMARY KEY, mode TEXT, compression TEXT, byte_order TEXT, mz_precision INTEGER, intensity_precision INTEGER, param_tree TEXT);
 CREATE TABLE run_slice (id INTEGER PRIMARY KEY, ms_level INTEGER, number INTEGER, begin_mz REAL, end_mz REAL, run_id INTEGER);
 CREATE TABLE spectrum (id INTEGER PRIMARY KEY, time REAL, ms_level INTEGER, cycle INTEGER, main_precursor_mz REAL, data_points_count INTEGER, data_encoding_id INTEGER, bb_first_spectrum_id INTEGER);
@@ -89,7 +89,7 @@ def write(spectra: DataFrame, own_peaks: DataFrame, path: str, encoding: Encodin
     with sqlite3.connect(f"file:{path}?mode=rwc", uri=True) as db:
         db.executescript(SCHEMA)
         tree = "<params><userParams>" + "".join(f'<userParam name="{k}" value="{v}" type="xsd:float"/>' for k, v in (("ms1_bb_mz_width", sizes.mz_ms1), ("msn_bb_mz_width", sizes.mz_msn), ("ms1_bb_time_width", sizes.time_ms1), ("msn_bb_time_width", sizes.time_msn))) + "</userParams></params>"
-        db.execute("INSERT INTO mzdb VALUES ('0.7', NULL, ?)", (tree,))
+        db.execute("INSERT INTO header VALUES ('0.7', NULL, ?)", (tree,))
         db.execute("INSERT INTO data_encoding VALUES (1, ?, 'none', ?, ?, ?, NULL)", ("fitted" if encoding.fitted else "centroid", "big_endian" if encoding.big_endian else "little_endian", encoding.mz_bits, encoding.intensity_bits))
         db.executemany("INSERT INTO run_slice VALUES (?, ?, ?, ?, ?, 1)", ((r.number, r.ms_level, r.number, r.begin_mz, r.end_mz) for r in slices.toLocalIterator()))
         db.executemany("INSERT INTO spectrum VALUES (?, ?, ?, NULL, ?, ?, 1, NULL)", ((r.id, r.time, r.ms_level, (r.iso_min + r.iso_max) / 2 if r.ms_level > 1 else None, r.n) for r in kept.select("id", "time", "ms_level", "iso_min", "iso_max", "n").toLocalIterator()))
@@ -99,8 +99,20 @@ def write(spectra: DataFrame, own_peaks: DataFrame, path: str, encoding: Encodin
     db.close()
 
 
+def header_table(path: str) -> str:
+    """The table that holds a store's version and parameter tree; its name differs between writers, its columns don't."""
+    for name in sqlite.tables(path):
+        if {"version", "creation_timestamp", "param_tree"} <= set(sqlite.columns(path, name)):
+            return name
+    raise ValueError("no header table")
+
+
+def header(spark: SparkSession, path: str) -> DataFrame:
+    return sqlite.table(spark, path, header_table(path))
+
+
 def model_version(spark: SparkSession, path: str) -> str | None:
-    row = sqlite.table(spark, path, "mzdb").select("version").first()
+    row = header(spark, path).select("version").first()
     return row[0] if row else None
 
 

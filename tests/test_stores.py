@@ -26,7 +26,7 @@ def test_store_round_trip(spark, sf, tmp_path, encoding):
     assert store.headers(spark, path).count() == peaks.select("spectrum_id").distinct().count()
     assert store.headers(spark, path).where("ms_level = 1 and main_precursor_mz is not null").count() == 0
     assert store.model_version(spark, path) == "0.7"
-    tree = sqlite.table(spark, path, "mzdb").select(store.tile_sizes(xmlparams.param_tree(F.col("param_tree"))).alias("s")).first().s
+    tree = store.header(spark, path).select(store.tile_sizes(xmlparams.param_tree(F.col("param_tree"))).alias("s")).first().s
     assert tuple(tree) == (5.0, 10_000.0, 15.0, 0.0)
     with sqlite3.connect(path) as db:
         assert db.execute("SELECT count(*) FROM bounding_box b JOIN bounding_box_rtree r ON b.id = r.id").fetchone()[0] == db.execute("SELECT count(*) FROM bounding_box").fetchone()[0] > 0
