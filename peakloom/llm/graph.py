@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import cut
+from peakloom.llm.common import cut, light
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of edges (a, b: long, any order, repeats allowed); root is the smallest node of the
     component. A round joins, at each node, its larger neighbours to its smallest one, then its smaller neighbours to
     its smallest one; the rounds end when the edges no longer change, which takes about the logarithm of the longest
-    path. Every round is kept in the shared folder. Self loops are dropped; a null end drops the edge."""
+    path. The smallest neighbours are kept apart from the edges, so that a join at the centre of a large star is a
+    broadcast, or one whose skewed side Spark can split. Every round is kept in the shared folder. Self loops are dropped; a null end drops the edge."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(most_rounds):
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = light(cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # now a > b in every row: to each node's smallest neighbour
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        low = light(cut(large.groupBy("a").agg(F.min("b").alias("m"))))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         e = cut(small)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
