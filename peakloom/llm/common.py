@@ -62,6 +62,28 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa
     pa.default_memory_pool().release_unused()
 
 
+#: Rows of an Arrow batch. Texts can be megabytes, and each task holds a batch on both sides of its Python worker.
+BATCH_ROWS = 1_000
+
+
+def _narrow(df: DataFrame) -> DataFrame:
+    """Sets the session's rows of an Arrow batch to BATCH_ROWS, unless it has a value other than Spark's own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, "10000") == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def map_arrow(df: DataFrame, work, schema) -> DataFrame:
+    """mapInArrow with batches of BATCH_ROWS."""
+    return _narrow(df).mapInArrow(work, schema)
+
+
+def map_pandas(df: DataFrame, work, schema) -> DataFrame:
+    """mapInPandas with batches of BATCH_ROWS."""
+    return _narrow(df).mapInPandas(work, schema)
+
+
 def text_of(name: str) -> Column:
     """The column, with null as the empty text."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import cut, in_slices, light, shingle_hashes, stored, text_of
+from peakloom.llm.common import cut, in_slices, light, map_arrow, map_pandas, shingle_hashes, stored, text_of
 from peakloom.llm.graph import components
 
 SHINGLE = 5
@@ -122,7 +122,7 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ["doc_id", "n_shingles", "set_id", "registers", "bands"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def set_hash(shingles: np.ndarray) -> int:
@@ -165,7 +165,7 @@ def each_block(rows: DataFrame, key: str, work: Callable[[pd.DataFrame], list[tu
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.mapInPandas(run, "a long, b long")
+    return map_pandas(dealt, run, "a long, b long")
 
 
 def forest(pairs_a: np.ndarray, pairs_b: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -250,7 +250,7 @@ def _estimated(pairs: DataFrame, limit: float) -> DataFrame:
                 j = likely_similarity(g, e, REGISTERS - g - e, f["na"].to_numpy(np.float64), f["nb"].to_numpy(np.float64))
                 yield pd.DataFrame({"a": f["a"], "b": f["b"], "likely": j >= limit})
 
-    return pairs.mapInPandas(run, "a long, b long, likely boolean")
+    return map_pandas(pairs, run, "a long, b long, likely boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -316,7 +316,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["set_id", "shingles"])
 
-    return found.mapInArrow(run, "set_id long, shingles binary")
+    return map_arrow(found, run, "set_id long, shingles binary")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

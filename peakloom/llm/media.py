@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import in_slices, text_of
+from peakloom.llm.common import in_slices, map_arrow, text_of
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -211,7 +211,7 @@ def describe(media: DataFrame, media_col: str = "media", id_col: str = "doc_id")
             out = [described(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[c] for o in out], t) for c, t in zip(names, types, strict=True)]], ["doc_id", *names])
 
-    return rows.mapInArrow(walk, schema)
+    return map_arrow(rows, walk, schema)
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +224,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             files = [store(padded(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["doc_id", "media"])
 
-    return rows.mapInArrow(make, schema)
+    return map_arrow(rows, make, schema)
 
 
 def feature(track: Track) -> str:
@@ -256,4 +256,4 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             values = zip(*made, strict=True) if made else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(v), k) for v, k in zip(values, kinds, strict=True)]], ["doc_id", *names])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

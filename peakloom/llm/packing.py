@@ -21,13 +21,14 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import cut, in_slices, text_of
+from peakloom.llm.common import cut, in_slices, map_arrow, text_of
 from peakloom.llm.tokens import _ODD, byte_letters, default_tokenizer
 
 GROUPS = 512
@@ -45,17 +46,24 @@ class Encoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         self.special = tuple(t["content"] for t in spec["added_tokens"])
         ranks = {bytes(byte_of[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, made when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def ids(self, text: str) -> np.ndarray:
         if _ODD.search(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
@@ -92,7 +100,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, id_col:
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(make, schema)
+    return map_arrow(rows, make, schema)
 
 
 def _configurations(groups: list[tuple[int, int]], capacity: int) -> list[tuple[int, dict[int, int]]]:

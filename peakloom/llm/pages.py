@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import in_slices, text_of
+from peakloom.llm.common import in_slices, map_arrow, text_of
 
 _NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -262,4 +262,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"page_id {kind[0]}, url {kind[1]}, text string, n_chars long")
+    return map_arrow(rows, run, f"page_id {kind[0]}, url {kind[1]}, text string, n_chars long")

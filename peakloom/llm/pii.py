@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import in_slices, text_of
+from peakloom.llm.common import in_slices, map_arrow, text_of
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "card13", "national_id", "secret")
@@ -158,7 +158,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             found = [[dict(zip(("start", "end", "kind", "score"), s, strict=True)) for s in spans(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, SPAN_TYPE)], ["doc_id", "spans"])
 
-    return rows.mapInArrow(find, schema)
+    return map_arrow(rows, find, schema)
 
 
 def pii_digest(found: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = pa.array([redacted(t) for t in batch.column(at).to_pylist()], own)
             yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(batch.num_columns)], batch.schema.names)
 
-    return docs.mapInArrow(clean, docs.schema).toDF(*names)
+    return map_arrow(docs, clean, docs.schema).toDF(*names)
 
 
 def digest_of(text: str | None) -> str:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import crc_fold, in_slices, text_of, word_hashes
+from peakloom.llm.common import crc_fold, in_slices, map_arrow, text_of, word_hashes
 
 POSITIVES = 4_000
 UNLABELLED = 8_000
@@ -154,7 +154,7 @@ def _sample(rows: DataFrame, n: int, most: int, salt: str) -> np.ndarray:
         for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], ["f"])
 
-    got = sorted(bytes(r[0]) for r in chosen.mapInArrow(make, "f binary").collect())
+    got = sorted(bytes(r[0]) for r in map_arrow(chosen, make, "f binary").collect())
     return np.frombuffer(b"".join(got), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
 
 
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
             values = shared.value.score(batch.column(1).to_pylist()).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import in_slices, text_of
+from peakloom.llm.common import in_slices, map_arrow, text_of
 
 #: Outside these ranges, or at the listed control characters, a text is left to the library.
 _ODD = regex.compile(r"[\x1c-\x1f\x85ɐ-῿⁰-\U0010ffff]")
@@ -223,7 +223,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
             tokens = pa.array([own.count(t) for t in texts.to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens], ["doc_id", "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_arrow(rows, count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def truncated(docs: DataFrame, budget: int, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,4 +243,4 @@ def truncated(docs: DataFrame, budget: int, tokenizer: str | None = None, id_col
                 counts.append(table.at(n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "text", "n_tokens"])
 
-    return rows.mapInArrow(trim, schema)
+    return map_arrow(rows, trim, schema)
