@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.operators.ranges import within
+from peakloom.operators.tiling import TileSizes
+
 METHODS = ("MAX", "NEAREST", "SUM")
 
 
@@ -28,9 +31,19 @@ def header_window(headers: DataFrame, min_rt: float | None, max_rt: float | None
 
 
 def peaks_in_range(peaks: DataFrame, headers: DataFrame, min_mz: float, max_mz: float, min_rt: float | None = None, max_rt: float | None = None, ms_level: int = 1, parent_mz: float | None = None) -> DataFrame:
-    """Peaks with min_mz <= mz <= max_mz of the spectra of header_window(), with their time."""
+    """Peaks with min_mz <= mz <= max_mz of the spectra of header_window(), with their time. Peaks of a laid out run
+    (tiling.write_run) have their level, m/z bin and time row; then folders and row groups outside are skipped."""
     own = header_window(headers, min_rt, max_rt, ms_level, parent_mz).select(F.col("id").alias("__id"), "time")
-    return peaks.where(F.col("mz").between(min_mz, max_mz)).join(own, F.col("spectrum_id") == F.col("__id")).drop("__id")
+    laid_out = {"ms_level", "mz_bin", "rt_row"} <= set(peaks.columns)
+    if laid_out:
+        peaks = peaks.where((F.col("ms_level") == ms_level) & within(F.col("mz"), min_mz, max_mz, F.col("mz_bin"), TileSizes().mz_ms1))
+        for end, value in ((">=", min_rt), ("<=", max_rt)):
+            if value is not None and value > 0:
+                peaks = peaks.where(f"rt_row {end} {int(value // TileSizes().time_ms1)}")
+        peaks = peaks.drop("time")
+    else:
+        peaks = peaks.where(F.col("mz").between(min_mz, max_mz))
+    return peaks.join(own, F.col("spectrum_id") == F.col("__id")).drop("__id")
 
 
 def slices_in_range(peaks: DataFrame, headers: DataFrame, *window, **more) -> DataFrame:

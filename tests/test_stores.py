@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom.functions import cv, dates, xmlparams
-from peakloom.operators import precursor, tiling
+from peakloom.operators import precursor, tiling, xic
 from peakloom.plans import adapters, sql
 from peakloom.sources import sqlite, store, tdf
 from peakloom.sources.codec import Encoding
@@ -104,6 +104,18 @@ def test_run_layout_prunes(spark, sf, tmp_path):
     assert "PartitionFilters: [isnotnull(ms_level" in plan and "GreaterThanOrEqual(mz_bin" in plan
 
 
+def test_xic_on_a_laid_out_run(spark, sf, tmp_path):
+    peaks, spectra = adapters.peaks(spark, sf), adapters.spectra(spark, sf)
+    tiling.write_run(tiling.tiled(peaks, spectra), str(tmp_path / "run"))
+    laid = spark.read.parquet(str(tmp_path / "run"))
+    for window in ((450.0, 550.0, 20.0, 200.0), (450.0, 550.0, None, 0.0)):
+        want = xic.peaks_in_range(peaks, spectra, *window).select("spectrum_id", "time", "mz", "intensity").collect()
+        got = xic.peaks_in_range(laid, spectra, *window)
+        assert sorted(map(tuple, got.select("spectrum_id", "time", "mz", "intensity").collect())) == sorted(map(tuple, want)) and want
+    plan = xic.xic(laid, spectra, 500.0, 50.0)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(mz_bin,110)" in plan and "PartitionFilters: [isnotnull(ms_level" in plan and "lhwhm" not in plan
+
+
 def test_sql_views(spark, sf):
     sql.register(spark, sf)
     n = sql.query(spark, "SELECT count(*) FROM v_spectrum WHERE ms_level = :level AND time <= :until", level=1, until=100.0)
