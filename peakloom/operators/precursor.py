@@ -82,8 +82,7 @@ def calibration_points(errors: DataFrame, every: int = 100, slots: int = 201, to
     numbered = row_numbers(errors, ["time", "id"], "ordinal")
     first = F.ceil(F.col("ordinal") / every)
     member = numbered.withColumn("checkpoint", F.explode(F.sequence(first, F.floor((F.col("ordinal") + slots - 1) / every)))).where(F.col("ordinal") > F.col("checkpoint") * every - slots)
-    last = numbered.agg(F.floor(F.max("ordinal") / every).alias("__last"))
-    member = member.crossJoin(F.broadcast(last)).where(F.col("checkpoint") <= F.col("__last"))
+    member = member.where(F.col("checkpoint") <= errors.count() // every)
     by = lambda *c: Window.partitionBy("checkpoint").orderBy(*c)
     best = member.withColumn("__r", F.row_number().over(by(F.desc("intensity"), "ordinal"))).where(F.col("__r") <= top)
     n = F.count("*").over(Window.partitionBy("checkpoint"))
@@ -108,8 +107,9 @@ def calibrated(precursors: DataFrame, points: DataFrame, width: float, least: in
     """precursors (id, time, mz) with calibrated_mz: the ppm error at their time, from the line through the points (time,
     error), taken off; unchanged with fewer than least points."""
     known = interpolated(precursors, "time", points, "time", "error", width, "__ppm")
-    n = points.agg(F.count("*").alias("__points"))
-    return known.crossJoin(F.broadcast(n)).select(*precursors.columns, F.when(F.col("__points") >= least, F.col("mz") - F.col("mz") * F.col("__ppm") / 1e6).otherwise(F.col("mz")).alias("calibrated_mz"))
+    if points.count() < least:
+        return precursors.withColumn("calibrated_mz", F.col("mz"))
+    return known.select(*precursors.columns, (F.col("mz") - F.col("mz") * F.col("__ppm") / 1e6).alias("calibrated_mz"))
 
 
 def precursor_rule(mono: Column, average: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +14,16 @@ def histogram(df: DataFrame, value: str, n_bins: int | None = None) -> DataFrame
     """All bins between the least and the greatest value, empty ones too: bin, lower, centre, upper, n. Without n_bins
     their number is the root of the number of values. One pass for the range, one for the counts."""
     known = df.where(F.col(value).isNotNull())
-    bins = F.lit(n_bins) if n_bins else F.greatest(F.lit(1), F.floor(F.sqrt(F.count("*"))))
-    ends = known.agg(F.min(value).alias("low"), F.max(value).alias("high"), bins.cast("int").alias("bins"))
-    ends = ends.withColumn("width", (F.col("high") - F.col("low")) / F.col("bins") + F.lit(1e-10))
-    at = F.least(F.floor((F.col(value) - F.col("low")) / F.col("width")), F.col("bins") - 1).cast("int")
-    counts = known.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
-    grid = ends.where("low is not null").select("low", "width", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
-    lower = F.col("low") + F.col("bin") * F.col("width")
-    return grid.join(counts, "bin", "left").select("bin", lower.alias("lower"), (lower + F.col("width") / 2).alias("centre"), (lower + F.col("width")).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))
+    low, high, n = known.agg(F.min(value), F.max(value), F.count("*")).first()
+    bins = n_bins or max(1, math.isqrt(n))
+    width = 0.0 if n == 0 else (high - low) / bins + 1e-10
+    grid = df.sparkSession.range(bins if n else 0).select(F.col("id").cast("int").alias("bin"))
+    if not n:
+        low = 0.0
+    at = F.least(F.floor((F.col(value) - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    counts = known.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    lower = F.lit(low) + F.col("bin") * F.lit(width)
+    return grid.join(counts, "bin", "left").select("bin", lower.alias("lower"), (lower + F.lit(width) / 2).alias("centre"), (lower + F.lit(width)).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def is_zero_or_nan(value: Column) -> Column:
