@@ -328,6 +328,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups = near_duplicates(rows, "__row", names[text_col]).select(F.col("doc_id").alias("__member"), "component_id")
     ids = rows.select("__row", F.col(names[id_col]).alias("__id")).join(groups, F.col("__row") == F.col("__member"))
     first = F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("first")
+    ids = cut(ids)
     kept = ids.groupBy("component_id").agg(first, F.count("*").alias("members")).where("members > 1")
-    dropped = ids.join(kept, "component_id").where(F.col("__row") != F.col("first.__row")).select(F.col("__row").alias("__dropped"))
+    dropped = ids.join(light(cut(kept)), "component_id").where(F.col("__row") != F.col("first.__row")).select(F.col("__row").alias("__dropped"))
     return rows.join(light(cut(dropped)), F.col("__row") == F.col("__dropped"), "left_anti").select(*plain).toDF(*docs.columns)
