@@ -28,8 +28,8 @@ from peakloom.llm.common import crc_fold, in_slices, map_arrow, text_of
 
 DIM = 1 << 16
 LONGEST = 4
-PER_LANGUAGE = 500
-LANDMARKS = 300
+PER_LANGUAGE = 250
+LANDMARKS = 160
 RIDGE = 1e-3
 #: Differences of regression values to probabilities.
 SHARPNESS = 8.0
