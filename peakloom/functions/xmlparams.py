@@ -47,27 +47,37 @@ def _number(xml: Column, path: str) -> Column:
     return F.get(F.xpath(xml, F.lit(path)), 0).try_cast("double")
 
 
+_PARAMS = "struct<cvParam:array<struct<_accession:string,_value:string>>>"
+_PRECURSOR = f"isolationWindow:{_PARAMS},selectedIonList:struct<selectedIon:array<{_PARAMS}>>,activation:{_PARAMS}"
+#: A precursor list, or one precursor as the root.
+PRECURSORS = f"precursor array<struct<{_PRECURSOR}>>, {_PRECURSOR.replace('isolationWindow:', 'isolationWindow ', 1).replace(',selectedIonList:', ', selectedIonList ').replace(',activation:', ', activation ')}"
+
+
 def precursors(xml: Column) -> Column:
     """The first precursor of a precursor list: isolation window (ends as target minus and plus its offsets), selected
-    ion, charge, activation and collision energy; null for null."""
-    at = "//precursor[1]"
-    target = _number(xml, _of(f"{at}/isolationWindow", cv.ISOLATION_TARGET))
-    lower, upper = (_number(xml, _of(f"{at}/isolationWindow", a)) for a in (cv.ISOLATION_LOWER, cv.ISOLATION_UPPER))
-    kinds = F.xpath(xml, F.lit(f"{at}/activation/cvParam/@accession"))
-    names = F.create_map(*[F.lit(x) for pair in cv.ACTIVATIONS.items() for x in pair])
-    known = F.filter(F.transform(kinds, lambda k: F.try_element_at(names, k)), lambda k: k.isNotNull())
-    return F.when(
-        xml.isNotNull(),
-        F.struct(
+    ion, charge, activation and collision energy; null for null. The text is parsed once."""
+
+    def read(p: Column) -> Column:
+        first = F.get(p["precursor"], 0)
+        either = lambda name: F.coalesce(first[name], p[name])
+        value = lambda own, accession: F.get(F.filter(own["cvParam"], lambda c: c["_accession"] == accession), 0)["_value"].try_cast("double")
+        window, activation = either("isolationWindow"), either("activation")
+        ion = F.get(either("selectedIonList")["selectedIon"], 0)
+        target = value(window, cv.ISOLATION_TARGET)
+        names = F.create_map(*[F.lit(x) for pair in cv.ACTIVATIONS.items() for x in pair])
+        known = F.filter(F.transform(activation["cvParam"], lambda c: F.try_element_at(names, c["_accession"])), lambda k: k.isNotNull())
+        return F.struct(
             target.alias("target_mz"),
-            (target - lower).alias("min_mz"),
-            (target + upper).alias("max_mz"),
-            _number(xml, _of(f"{at}//selectedIon[1]", cv.SELECTED_ION_MZ)).alias("selected_mz"),
-            _number(xml, _of(f"{at}//selectedIon[1]", cv.CHARGE_STATE)).cast("int").alias("charge"),
+            (target - value(window, cv.ISOLATION_LOWER)).alias("min_mz"),
+            (target + value(window, cv.ISOLATION_UPPER)).alias("max_mz"),
+            value(ion, cv.SELECTED_ION_MZ).alias("selected_mz"),
+            value(ion, cv.CHARGE_STATE).cast("int").alias("charge"),
             F.get(known, 0).alias("activation"),
-            _number(xml, _of(f"{at}/activation", "MS:1000045")).alias("energy"),
-        ),
-    )
+            value(activation, "MS:1000045").alias("energy"),
+        )
+
+    # a lambda binds the parsed text, which plain references would parse again for each field
+    return F.when(xml.isNotNull(), F.get(F.transform(F.array(F.from_xml(xml, PRECURSORS)), read), 0))
 
 
 def scans(xml: Column) -> Column:

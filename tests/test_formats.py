@@ -177,3 +177,10 @@ def test_stream_time_rows(spark, tmp_path):
     files = [[("r", i, float(t), 1) for i, t in enumerate([0, 10, 15])], [("r", i + 3, float(t), 1) for i, t in enumerate([16, 31, 32])]]
     out = _run(spark, tmp_path, lambda s: time_rows(s, 15.0, ["run_id"]), files)
     assert [(r.row_start, r.first_id, r.last_id, r.n) for r in out.orderBy("row_start").collect()] == [(0.0, 0, 2, 3), (16.0, 3, 4, 2)]
+
+
+def test_precursor_roots(spark):
+    inner = f'<isolationWindow><cvParam accession="{cv.ISOLATION_TARGET}" value="500"/><cvParam accession="{cv.ISOLATION_LOWER}" value="1"/></isolationWindow><activation><cvParam accession="MS:1000422"/><cvParam accession="MS:1000045" value="35"/></activation>'
+    rows = [(f"<precursorList><precursor>{inner}</precursor><precursor/></precursorList>",), (f"<precursor>{inner}</precursor>",), ("<precursorList/>",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string").select(xmlparams.precursors(F.col("x"))).collect()]
+    assert [tuple(g) for g in got[:2]] == [(500.0, 499.0, None, None, None, "HCD", 35.0)] * 2 and set(got[2]) == {None} and got[3] is None
