@@ -196,16 +196,26 @@ def _likely_pairs(block: pd.DataFrame, limit: float) -> list[tuple[int, int]]:
     regs = np.stack([np.frombuffer(x, np.uint16) for x in block["registers"]])
     found = []
     for i in range(len(ids) - 1):
-        others = regs[i + 1 :]
-        equal = (others == regs[i]).sum(axis=1)
+        equal = (regs[i + 1 :] == regs[i]).sum(axis=1)
         near = np.flatnonzero(equal >= REGISTERS * (limit - 0.2))
         if len(near):
-            found.append((np.full(len(near), i), near + i + 1, equal[near], (regs[i] > others[near]).sum(axis=1)))
+            found.append((np.full(len(near), i), near + i + 1, equal[near]))
     if not found:
         return []
-    a, b, equal, greater = (np.concatenate(x) for x in zip(*found, strict=True))
-    hit = likely_similarity(greater, equal, REGISTERS - equal - greater, sizes[a], sizes[b]) >= limit
-    return [(int(ids[x]), int(ids[y])) for x, y in forest(a[hit], b[hit], len(ids))]
+    a, b, equal = (np.concatenate(x) for x in zip(*found, strict=True))
+    # pairs that agree in a share of limit are likely as they are; of the others those count that would join parts
+    sure = equal >= REGISTERS * limit
+    edges = np.array(forest(a[sure], b[sure], len(ids)), np.int64).reshape(-1, 2)
+    part = np.arange(len(ids))
+    for x, y in edges:
+        part[part == part[y]] = part[x]
+    open_ = ~sure & (part[a] != part[b])
+    a, b, equal = a[open_], b[open_], equal[open_]
+    if len(a):
+        greater = np.concatenate([(regs[a[k : k + 4096]] > regs[b[k : k + 4096]]).sum(axis=1) for k in range(0, len(a), 4096)])
+        hit = likely_similarity(greater, equal, REGISTERS - equal - greater, sizes[a], sizes[b]) >= limit
+        edges = np.array(forest(np.append(edges[:, 0], a[hit]), np.append(edges[:, 1], b[hit]), len(ids)), np.int64).reshape(-1, 2)
+    return [(int(ids[x]), int(ids[y])) for x, y in edges]
 
 
 def _true_pairs(block: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
