@@ -1,6 +1,6 @@
 """Quality rules as weak supervision: each rule votes good, bad or abstains; expectation-maximisation over the
-counts of vote patterns estimates how often each rule is right; the posterior probability of good text
-replaces the usual all-must-pass filter.
+counts of vote patterns estimates how often each rule is right and the share of good text; the posterior probability of
+good text replaces the usual all-must-pass filter.
 
 DataFrame functions only. A pass over the texts makes one row of figures a document; the fit sees nothing but
 the number of documents of each vote pattern, at most 2 ** len(RULES) rows whatever the corpus holds.
@@ -116,7 +116,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-#: The share of good documents before any vote.
+#: The share of good documents at which the fit starts.
 PRIOR = 0.8
 
 
@@ -141,31 +141,46 @@ class VoteModel:
         return 1 / (1 + F.exp(-total))
 
 
-#: How often a rule can be right. A vote for bad text comes from a defect and is trusted more than a vote for good
-#: text, which only reports the absence of some; the bounds tie the two classes to the meaning of the votes.
-BOUNDS = {-1: (0.94, 0.995), 1: (0.52, 0.62)}
+#: How often a rule can be right: on its side of 0.5. Votes for good text also have an upper bound, as they come together
+#: in any prose and say little about what else is in a text; one for bad text is held short of certainty.
+BOUNDS = {-1: (0.505, 0.995), 1: (0.505, 0.7)}
+#: The share of good documents that an estimate can reach: a kind of bad text too rare to move it is still weighed.
+PRIOR_BOUNDS = (0.05, 0.95)
 
 
-def fit_patterns(counts: dict[tuple[bool, ...], int], prior: float = PRIOR, rounds: int = 200, tolerance: float = 1e-7) -> VoteModel:
-    """Expectation-maximisation over counts of patterns (which rules voted). The share of good documents is given: a
-    text of which no rule says anything carries no evidence on it. Each estimate carries a few pseudo-counts, so that
-    rare votes can't reach certainty."""
-    model = VoteModel(prior)
-    if not sum(counts.values()):
+def fit_patterns(counts: dict[tuple[bool, ...], int], prior: float = PRIOR, rounds: int = 500, tolerance: float = 1e-7) -> VoteModel:
+    """Expectation-maximisation over counts of patterns (which rules voted), with two classes in each of which a rule
+    votes at a rate of its own, so that classes of any size are told apart. A rule that votes more often in the wrong class
+    counts as voting alike in both. How often a rule is right is its rate in the class it votes for, of the sum of both
+    rates; that estimate carries a few pseudo-counts, so that rare votes can't reach certainty, and so does the share of
+    good documents, which starts at prior."""
+    model, n_docs = VoteModel(prior), sum(counts.values())
+    if not n_docs:
         return model
+    start, each = model.weights()
+    silent = dict.fromkeys(RULES, 0.0)  # what a rule's silence adds; only the fit hears it
     for _ in range(rounds):
-        start, each = model.weights()
-        right, voted = dict.fromkeys(RULES, 2.7), dict.fromkeys(RULES, 3.0)
+        good, fired_good, fired_all = 0.0, dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0)
         for pattern, n in counts.items():
-            odds = start + sum(each[k] for k, fired in zip(RULES, pattern, strict=True) if fired)
+            odds = start + sum(each[k] if fired else silent[k] for k, fired in zip(RULES, pattern, strict=True))
             p = 1 / (1 + math.exp(-odds))
+            good += n * p
             for k, fired in zip(RULES, pattern, strict=True):
                 if fired:
-                    voted[k] += n
-                    right[k] += n * (p if SIGNS[k] > 0 else 1 - p)
-        hold = lambda k: min(BOUNDS[SIGNS[k]][1], max(BOUNDS[SIGNS[k]][0], right[k] / voted[k]))
-        new = VoteModel(prior, {k: hold(k) for k in RULES})
-        moved = sum(abs(new.right[k] - model.right[k]) for k in RULES)
+                    fired_good[k] += n * p
+                    fired_all[k] += n
+        right = {}
+        for k, sign in SIGNS.items():
+            a, b = (fired_good[k] + 0.5) / (good + 1), (fired_all[k] - fired_good[k] + 0.5) / (n_docs - good + 1)
+            if sign * (a - b) < 0:
+                a = b = (fired_all[k] + 0.5) / (n_docs + 1)
+            each[k], silent[k] = math.log(a / b), math.log((1 - a) / (1 - b))
+            share = (a if sign > 0 else b) / (a + b)
+            right[k] = min(BOUNDS[sign][1], max(BOUNDS[sign][0], (2.7 + share * fired_all[k]) / (3.0 + fired_all[k])))
+        share = (10 * prior + good) / (10 + n_docs)
+        start = math.log(share / (1 - share))
+        new = VoteModel(min(PRIOR_BOUNDS[1], max(PRIOR_BOUNDS[0], share)), right)
+        moved = abs(new.prior - model.prior) + sum(abs(new.right[k] - model.right[k]) for k in RULES)
         model = new
         if moved < tolerance:
             break

@@ -233,6 +233,24 @@ def test_rule_model():
     assert rules.fit_patterns({}) == rules.VoteModel()
 
 
+def test_a_bad_vote_weighs_what_the_corpus_says():
+    """One bad vote beside both good ones: kept where good text has it as often as bad, dropped where only bad text has it."""
+    verdicts = []
+    for in_good, in_bad in ((0.5, 0.5), (0.005, 0.6)):
+        r, counts = random.Random(5), {}
+        for _ in range(4000):
+            good = r.random() < 0.8
+            rate = {k: (0.02 if good else 0.6) if s < 0 else (0.9 if good else 0.3) for k, s in rules.SIGNS.items()} | {"symbols": in_good if good else in_bad}
+            fired = tuple(r.random() < rate[k] for k in rules.RULES)
+            counts[fired] = counts.get(fired, 0) + 1
+        model = rules.fit_patterns(counts)
+        assert abs(model.prior - 0.8) < 0.05
+        start, each = model.weights()
+        verdicts.append(start + sum(each[k] for k in ("symbols", "sentences", "function_words")) >= 0)
+        assert start + sum(each[k] for k, s in rules.SIGNS.items() if s < 0) < 0 < start + each["sentences"]
+    assert verdicts == [True, False]
+
+
 def test_language_model():
     r = random.Random(1)
     make = lambda parts: " ".join("".join(r.choice(parts) for _ in range(r.randrange(1, 4))) for _ in range(40))
