@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from peakloom.llm.common import in_slices, map_arrow, text_of
 
 _NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A tag from its name on, up to what ends it: a quote opens after = only and closes at the same quote.
+_INSIDE = re.compile(r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)[^>=]*+)*+""")
+_ATTR = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?。，、；：！？…]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,16 +71,8 @@ class Node:
 
 
 def _tag_end(page: str, start: int) -> int:
-    """Index of the > that ends the tag; quoted ones don't, unless the quotes don't end nearby."""
-    end = first = page.find(">", start)
-    for _ in range(16):
-        if end < 0:
-            return first
-        inside = page[start:end]
-        if inside.count('"') % 2 == 0 and inside.count("'") % 2 == 0 or "=" not in inside:
-            return end
-        end = page.find(">", end + 1)
-    return first
+    """Index of the > that ends the tag; quoted ones don't. A quote that never closes counts up to the next >."""
+    return page.find(">", _INSIDE.match(page, start).end())
 
 
 def scan(page: str) -> Iterator[tuple[str, str, str]]:

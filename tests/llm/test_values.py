@@ -214,6 +214,27 @@ def test_odd_pages(page, text):
     assert pages.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p title=\"it's\">Hello</p><p>don't stop</p>", "Hello don't stop"),
+        ("<p><img alt=\"John's house\" src=x>a</p><p>b's</p>", "a b's"),
+        ("<p data-x='" + "<i>k</i>" * 40 + "' on=\"a>b\">kept</p>", "kept"),
+        ("<p title='class=menu id=footer hidden'>kept</p>", "kept"),
+        ("<p data-html='<div class=\"menu\">'>kept</p>", "kept"),
+        ("<p title=\"open>a</p><p>b</p>", "a b"),
+        ("<a href=x?y='1'>a</a>", "a"),
+    ],
+)
+def test_quoted_attributes(page, text):
+    assert pages.main_text(page) == text
+
+
+def test_quotes_take_linear_time():
+    for page in ("<img b=\">\" " * 50_000 + "='", "<img b='>\"" * 50_000, "<img =" * 50_000, "<img" + " " * 200_000 + "=", "<img b=\">" * 50_001):
+        pages.main_text(page)
+
+
 def test_broken_pages_take_linear_time():
     for page in ("<" * 200_000, '<a "' * 20_000, "<p>" * 20_000, "<!--" * 50_000, "</b>" * 50_000):
         pages.main_text(page)
