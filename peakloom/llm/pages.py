@@ -3,10 +3,11 @@
 A scanner turns the page into text nodes, each with its tag path from the root (tag names with the first class). Text
 and punctuation are summed by path: a path's text ratio is characters a node, its punctuation ratio marks a node.
 Along the page both are smoothed over neighbouring nodes (Gaussian window), fused as a product, and paths whose fused
-mean reaches a share of the page's deviation are content. The smallest element that holds nearly all content mass is
-the article; within it everything stays but what is marked as not being the article (menus, notices, adverts, forms,
-comments), so that short paragraphs and headings aren't lost. Where the smallest element is the whole page, only nodes
-on content paths, their siblings and headings stay.
+mean reaches a share of the page's deviation are content. The smallest article or main element that holds nearly all
+content mass, else the smallest container of all content (of nearly all, if only the whole page holds all) is the
+article; within it everything stays but what is marked as not being the article (menus, notices, adverts, forms,
+comments), so that short paragraphs and headings aren't lost. Outside it, other article and main elements with content
+and nodes on content paths stay. Where the smallest element is the whole page, siblings of those and headings stay too.
 
 Cases: null counts as the empty page: empty text. Broken markup is read as far as it goes: unclosed tags end with
 their parents, an unclosed comment, script or tag at the end is dropped. A page without tags is its own text. Null ids
@@ -44,6 +45,8 @@ BLOCK = frozenset("address article aside blockquote center details dialog dir di
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table select menu".split())
 DROPPED = frozenset("nav aside footer form button select script style noscript template svg iframe textarea title head dialog object canvas math audio video map datalist menu".split())
+#: Blocks that hold one piece of text: never the article.
+LEAF = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 _MARKED = re.compile(
@@ -212,28 +215,41 @@ def main_text(page: str | None) -> str:
     paths, _ = _content_paths(own)
     mass: dict[int, int] = defaultdict(int)
     depth: dict[int, int] = {}
+    name = {e: p.split(".")[0] for x in own for e, p in zip(x.elements, x.path, strict=True)}
+    content = [x for x in own if x.path in paths]
     total = 0
-    for x in own:
-        if x.path in paths:
-            total += len(x.text)
-            for d, e in enumerate(x.elements):
-                mass[e] += len(x.text)
-                depth[e] = d
-    # the smallest element with nearly all content, but no smaller than an article or main element that has it
-    named = {e for x in own for e, p in zip(x.elements, x.path, strict=True) if p.split(".")[0] in ("article", "main")}
-    best = max((e for e in mass if mass[e] >= HELD * total and e in named), key=lambda e: depth[e], default=None)
+    for x in content:
+        total += len(x.text)
+        for d, e in enumerate(x.elements):
+            mass[e] += len(x.text)
+            depth[e] = d
+    deepest = lambda share, fit: max((e for e in mass if mass[e] >= share * total and fit(e)), key=lambda e: depth[e], default=None)
+    named, held = {e for e in name if name[e] in ("article", "main")}, lambda e: name[e] not in INLINE and name[e] not in LEAF
+    # the smallest element with all content, else with nearly all, but no smaller than an article or main element that has it
+    best = deepest(HELD, named.__contains__)
     whole = best is None
     if whole:
-        inner = {e: p.split(".")[0] for x in own for e, p in zip(x.elements, x.path, strict=True)}
-        best = max((e for e in mass if mass[e] >= HELD * total and inner[e] not in INLINE), key=lambda e: depth[e], default=None)
-        whole = best is None or inner[best] in ("html", "body")
+        best = deepest(1, held)
+        if best is None or name[best] in ("html", "body"):
+            best = deepest(HELD, held)
+        whole = best is None or name[best] in ("html", "body")
+    chosen = {best} - {None} if not whole else set()
+    # content outside it: an article or main element is taken whole, other content by its path
+    for x in content:
+        if chosen.isdisjoint(x.elements):
+            chosen |= set([e for e in x.elements if e in named][-1:])
     near = {p[:-1] for p in paths}
 
     def stays(x: Node) -> bool:
-        if x.marked or best is not None and best not in x.elements:
+        if x.marked:
             return False
+        if not chosen.isdisjoint(x.elements):
+            return True
+        path = x.path
+        while path and path[-1].split(".")[0] in INLINE and path not in paths:  # a link or bold words in a paragraph
+            path = path[:-1]
         tag = x.path[-1].split(".")[0] if x.path else ""
-        return not whole or x.path in paths or x.path[:-1] in near and tag not in ("a", "li") or tag in HEADINGS
+        return path in paths or whole and (x.path[:-1] in near and tag not in ("a", "li") or tag in HEADINGS)
 
     parts: list[str] = []
     last = None

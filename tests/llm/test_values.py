@@ -230,6 +230,14 @@ def test_quoted_attributes(page, text):
     assert pages.main_text(page) == text
 
 
+@pytest.mark.parametrize("shape", ["<div><h1>Title</h1><p>{0}</p><p>{1}</p></div>", "<div><div><h1>Title</h1><p>{1}</p></div><div><p>{0}</p></div></div>", "<body><main><article><h1>Title</h1><p>{0}</p></article><article><p>{1}</p></article></main></body>", "<article><h1>Title</h1><p>{0}</p></article><article><p>{1}</p></article>", "<body><div class=intro><p>{1}</p></div><div class=text><div><p>{0}</p><h1>Title</h1></div></div></body>"])
+def test_small_parts_beside_a_large_one(shape):
+    long, short = "Many words, one after another. " * 160, "Fewer words, with a <b>bold</b> one. " + "Fewer words, too. " * 18
+    got = pages.main_text(shape.format(long, short))
+    plain = short.replace("<b>", "").replace("</b>", "")
+    assert "Title" in got and long.strip() in got and plain.strip() in got
+
+
 def test_quotes_take_linear_time():
     for page in ("<img b=\">\" " * 50_000 + "='", "<img b='>\"" * 50_000, "<img =" * 50_000, "<img" + " " * 200_000 + "=", "<img b=\">" * 50_001):
         pages.main_text(page)
