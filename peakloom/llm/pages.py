@@ -54,6 +54,7 @@ _MARKED = re.compile(
     r"modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|comments?|disqus|reply|replies|respond|breadcrumbs?|pagination|pager|widget|search|toolbar|skip|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
+_PART = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert|promo|sponsor|cookie|consent|gdpr|notice|popup|newsletter|related|recommend|comment|disqus|repl|respond|outbrain|taboola)")
 #: Smoothing window in nodes, and the share of the deviation that a path's fused mean must reach.
 WINDOW = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
 WINDOW /= WINDOW.sum()
@@ -63,14 +64,16 @@ HELD = 0.9
 
 @dataclass
 class Node:
-    """A text node: its text, tag path, open elements (numbers, outermost first), block number, and whether it is
-    marked as not being the article."""
+    """A text node: its text, tag path, open elements (numbers, outermost first), block number, whether it is marked as
+    not being the article, and if only by classes, ids or a form, the numbers of the elements that mark it (negative
+    if as a part about others)."""
 
     text: str
     path: tuple[str, ...]
     elements: tuple[int, ...]
     block: int
     marked: bool
+    by: tuple[int, ...] = ()
 
 
 def _tag_end(page: str, start: int) -> int:
@@ -122,26 +125,32 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
             yield "end", tag, ""
 
 
-def _marked(tag: str, attributes: str, path: list[str]) -> bool:
-    if tag in DROPPED:
-        return True
+def _marked(tag: str, attributes: list[tuple[str, str]], path: list[str]) -> str:
+    """How an element is marked: "" not, "kind" by its kind or state, "part" by words for parts about others, "class" by
+    other words or as a form, which can also be a wrapper of the whole page."""
+    if tag in DROPPED and tag != "form":
+        return "kind"
     if tag == "header" and not any(p.split(".")[0] in ("article", "main") for p in path):
-        return True
+        return "kind"
+    found = "class" if tag == "form" else ""
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for name, a, b, c in _ATTR.findall(attributes):
-        value, name = a or b or c, name.lower()
+        return found
+    for name, value in attributes:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and _MARKED.search(value):
-            return True
-    return False
+            return "kind"
+        if name == "role" and value.lower() in ROLES:
+            if value.lower() not in ("form", "search"):
+                return "kind"
+            found = found or "class"
+        if name in ("class", "id") and _MARKED.search(value):
+            found = "part" if found == "part" or _PART.search(value) else "class"
+    return found
 
 
 def nodes(page: str) -> list[Node]:
     """The page's text nodes, white space only ones included (they separate words)."""
     out: list[Node] = []
-    stack: list[tuple[str, str, int, bool]] = []  # tag, name in paths, number, marked
+    stack: list[tuple[str, str, int, bool, tuple[int, ...]]] = []  # tag, name in paths, number, marked, by classes of
     made = block = 0
 
     def close(depth: int) -> None:
@@ -153,7 +162,7 @@ def nodes(page: str) -> list[Node]:
     for kind, tag, value in scan(page):
         if kind == "text":
             text = html.unescape(value)
-            out.append(Node(text, tuple(x[1] for x in stack), tuple(x[2] for x in stack), block, bool(stack) and stack[-1][3]))
+            out.append(Node(text, tuple(x[1] for x in stack), tuple(x[2] for x in stack), block, *(stack[-1][3:] if stack else (False, ()))))
         elif kind == "start":
             if tag in BLOCK:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
@@ -164,17 +173,19 @@ def nodes(page: str) -> list[Node]:
                 if depth >= 0 and stack[depth][0] == other:
                     close(depth)
             if tag == "br":
-                out.append(Node(" ", tuple(x[1] for x in stack), tuple(x[2] for x in stack), block, bool(stack) and stack[-1][3]))
+                out.append(Node(" ", tuple(x[1] for x in stack), tuple(x[2] for x in stack), block, *(stack[-1][3:] if stack else (False, ()))))
                 continue
             if tag not in INLINE:
                 block += 1
             if tag in VOID:
                 continue
             made += 1
-            cls = next((a or b or c for name, a, b, c in _ATTR.findall(value) if name.lower() == "class"), "") if value else ""
-            above = bool(stack) and stack[-1][3]
-            marked = above or _marked(tag, value, [x[1] for x in stack])
-            stack.append((tag, f"{tag}.{cls.split()[0]}" if cls.split() else tag, made, marked))
+            attributes = [(n.lower(), a or b or c) for n, a, b, c in _ATTR.findall(value)] if value else []
+            cls = next((v for n, v in attributes if n == "class"), "")
+            marked, by = stack[-1][3:] if stack else (False, ())
+            kind_of = _marked(tag, attributes, [x[1] for x in stack])
+            marked, by = marked or kind_of == "kind", (*by, made if kind_of == "class" else -made) if kind_of in ("class", "part") else by
+            stack.append((tag, f"{tag}.{cls.split()[0]}" if cls.split() else tag, made, marked, by))
         else:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if depth >= 0:
@@ -202,6 +213,44 @@ def _content_paths(own: list[Node]) -> tuple[set[tuple[str, ...]], np.ndarray]:
     return {p for p, v in by_path.items() if np.mean(v) >= limit}, fused
 
 
+def _weigh_marks(everything: list[Node]) -> None:
+    """Settles marks by class, which also stand on wrappers of a layout. The largest article or main element under such
+    marks loses those of its wrappers, if it has more text than all that is unmarked, and no article or main element
+    is unmarked. Else, if unmarked text is under 1 - HELD of what isn't a part that other parts are about (comments,
+    notices, adverts), the wrappers with most of that text lose theirs; and if nothing is left, all do."""
+    seen = [x for x in everything if not x.marked and x.text.strip()]
+    if any(x.by for x in seen):
+        mass: dict[int, int] = defaultdict(int)
+        for x in seen:
+            for e in x.elements:
+                mass[e] += len(x.text)
+        name = {e: p for x in seen for e, p in zip(x.elements, x.path, strict=True)}
+        named = {e for e in mass if name[e].split(".")[0] in ("article", "main")}
+        free = sum(len(x.text) for x in seen if not x.by)
+        under = {e for x in seen for e in x.elements if e in named and x.by and abs(x.by[0]) < e}
+        lifted: set[int] = set()
+        top = max(under, key=lambda e: (mass[e], -e), default=None)
+        if top is not None and mass[top] > free and not any(not x.by and not named.isdisjoint(x.elements) for x in seen):
+            for x in everything:
+                if top in x.elements:
+                    x.by = tuple(e for e in x.by if abs(e) > top)
+        else:
+            rest = [x for x in seen if all(e > 0 for e in x.by)]
+            total = sum(len(x.text) for x in rest)
+            if free < (1 - HELD) * total:
+                part: dict[int, int] = defaultdict(int)
+                for x in rest:
+                    for e in x.by:
+                        part[e] += len(x.text)
+                lifted = {e for e in part if 2 * part[e] > total}
+            if all(set(x.by) - lifted for x in seen):
+                lifted = {e for x in seen for e in x.by}
+        for x in everything:
+            x.by = tuple(e for e in x.by if e not in lifted)
+    for x in everything:
+        x.marked = x.marked or bool(x.by)
+
+
 def main_text(page: str | None) -> str:
     """The page's main text: white space in a block as one space, blocks in order joined by one space."""
     if not page:
@@ -209,6 +258,7 @@ def main_text(page: str | None) -> str:
     if "<" not in page:
         return _SPACE.sub(" ", html.unescape(page)).strip()
     everything = nodes(page)
+    _weigh_marks(everything)
     own = [x for x in everything if not x.marked and x.text.strip()]
     if not own:
         return ""

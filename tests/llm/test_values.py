@@ -238,6 +238,24 @@ def test_small_parts_beside_a_large_one(shape):
     assert "Title" in got and long.strip() in got and plain.strip() in got
 
 
+@pytest.mark.parametrize(
+    ("shape", "kept", "gone"),
+    [
+        ("<div class='layout has-sidebar'>{}<div class=comments><p>{}</p></div></div>", "Title", "First"),
+        ("<div class='site header-fixed'><div class=sidebar>First</div><article>{}</article></div><p>crumb {}</p>", "Title", "First"),
+        ("<form action=x><input name=y><div>{}</div><div class=menu>{}</div></form>", "Title", "First"),
+        ("<div id='search-results-page'><article>{}</article><div id=comments><article>{}</article></div></div>", "Title", "First"),
+        ("<div class=sidebar>{}</div><nav>{}</nav>", "Title", "First"),
+        ("<div class=text>{}</div><div class=related><article><p>{}</p></article></div>", "Title", "First"),
+        ("<div hidden><article>{}</article></div><p>Title is this, with words. </p><div class=menu>{}</div>", "Title is this", "never"),
+    ],
+)
+def test_marked_wrappers(shape, kept, gone):
+    first = "never, ever" if gone == "never" else "Title. " + "Words of an article, one after another. " * 30
+    got = pages.main_text(shape.format(f"<p>{first}</p>", "First! I agree, never."))
+    assert kept in got and (gone not in got or "crumb" in shape) and (gone == "never" or first.strip() in got)
+
+
 def test_quotes_take_linear_time():
     for page in ("<img b=\">\" " * 50_000 + "='", "<img b='>\"" * 50_000, "<img =" * 50_000, "<img" + " " * 200_000 + "=", "<img b=\">" * 50_001):
         pages.main_text(page)
