@@ -33,9 +33,19 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}")
+#: Characters of an account code by country, from the public registry.
+IBAN_LENGTHS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "AE BG BH CR DE GB GE IE ME RS VA",
+        23: "GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|api_?key|access_?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_\-/+]{16,200})")
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|api_?key|access_?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_\-/+]{16,}+)")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 #: Words that raise (+) or lower (-) the score of a kind when they stand near a span.
@@ -68,6 +78,30 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account codes. A candidate can run on into words and numbers after it: of its parts that end where a group ends
+    and pass mod 97, the one of the country's length, else, for a country without a known one, the longest; the whole
+    candidate counts for any country."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, at, whole, best = m.start(), m.start() + 1, True, 0
+        known = IBAN_LENGTHS.get(text[start : start + 2])
+        for end in range(m.end(), start + 14, -1):
+            if end < len(text) and text[end].isascii() and text[end].isalnum() or text[end - 1] == " ":
+                continue
+            n = end - start - text.count(" ", start, end)
+            if n < 15 or known and n < known and not whole:
+                break
+            if (whole or not known or n == known) and mod97(text[start:end]):
+                best = end
+                if not known or n == known:
+                    break
+            whole = False
+        if best:
+            yield start, best
+            at = best
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost, not overlapping: before each @ the longest run of local characters that an earlier match leaves."""
     at, free = text.find("@"), 0
@@ -105,7 +139,7 @@ def _added(text: str) -> list[tuple[int, int, str]]:
     found = []
     if not _DIGIT.search(text):
         return found
-    found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if mod97(m[0])]
+    found += [(a, b, "iban") for a, b in _ibans(text)]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and len(d := m[0].replace(" ", "").replace("-", "")) == 13 and luhn(d):
             found.append((m.start(), m.end(), "card13"))

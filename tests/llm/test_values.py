@@ -113,6 +113,31 @@ def test_added_kinds_and_context():
     assert pii.redacted("to a@b.co now") == "to <email> now" and pii.redacted(None) is None and pii.redacted("") == ""
 
 
+def test_whole_secrets():
+    for n in (16, 200, 201, 5000):
+        secret = ("a1B2c3D4e5F6g7H8" * (n // 16 + 1))[:n]
+        assert pii.redacted(f"token = '{secret}' end") == "token = '<secret>' end"
+
+
+@pytest.mark.parametrize("code", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " 2024", " OR", " BANK AND MORE WORDS IN CAPITALS 12", ", then", " GB82 WEST 1234 5698 7654 32"])
+def test_ibans_before_other_words(code, after):
+    text = f"IBAN {code}{after}"
+    got = [text[a:b] for a, b, k, _ in pii.spans(text) if k == "iban"]
+    assert got == [code] + ["GB82 WEST 1234 5698 7654 32"] * ("GB82" in after)
+
+
+def test_no_iban_within_a_longer_code():
+    assert not [k for *_, k, _ in pii.spans("IBAN DE89370400440532013000A1") if k == "iban"]
+    assert not [k for *_, k, _ in pii.spans("IBAN DE89 3704 0044 0532 0130 01 BIC") if k == "iban"]
+
+
+def test_many_iban_candidates_take_linear_time():
+    pii.spans("DE89 3704 0044 0532 0130 01 BIC " * 3_000)
+    pii.spans("AB12" * 50_000)
+    pii.spans("AB12 " * 30_000)
+
+
 @pytest.fixture(scope="module")
 def counter():
     return tokens.PrefixCounter(tokens.default_tokenizer())
