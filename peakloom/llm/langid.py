@@ -28,8 +28,9 @@ from peakloom.llm.common import crc_fold, in_slices, map_arrow, text_of
 
 DIM = 1 << 16
 LONGEST = 4
-PER_LANGUAGE = 250
-LANDMARKS = 160
+PER_LANGUAGE = 500
+#: Landmarks at least, and for each language where there are many.
+LANDMARKS, LANDMARKS_EACH = 300, 75
 RIDGE = 1e-3
 #: Differences of regression values to probabilities.
 SHARPNESS = 8.0
@@ -99,12 +100,13 @@ class LanguageModel:
         return names, np.concatenate(scores) if scores else np.empty(0)
 
 
-def fit_texts(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 7) -> LanguageModel:
-    """The model of labelled texts; landmarks are dealt to the languages in turn."""
+def fit_texts(texts: list[str], labels: list[str], landmarks: int | None = None, ridge: float = RIDGE, seed: int = 7) -> LanguageModel:
+    """The model of labelled texts; landmarks, by default more with more languages, are dealt to the languages in turn."""
     pairs = [(t, y) for t, y in zip(texts, labels, strict=True) if len(places(t))]
     languages = sorted({y for _, y in pairs})
     if not languages:
         return LanguageModel([], np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
+    landmarks = max(LANDMARKS, LANDMARKS_EACH * len(languages)) if landmarks is None else landmarks
     rng = np.random.default_rng(seed)
     own = {y: rng.permutation([i for i, p in enumerate(pairs) if p[1] == y]).tolist() for y in languages}
     chosen: list[int] = []

@@ -334,6 +334,15 @@ def test_language_model():
     assert langid.fit_texts([], []).predict(["x"])[0] == ["und"]
 
 
+@pytest.mark.parametrize(("languages", "least"), [(4, 300), (8, 600)])
+def test_landmarks_grow_with_the_languages(monkeypatch, languages, least):
+    seen, plain = [], langid.presence
+    monkeypatch.setattr(langid, "presence", lambda texts: (seen.append(len(texts)), plain(texts))[1])
+    texts = [(f"{chr(97 + y) * 3}{chr(97 + i % 26)} {chr(97 + i // 26)}{chr(97 + y)}", str(y)) for y in range(languages) for i in range(90)]
+    langid.fit_texts(*map(list, zip(*texts, strict=True)))
+    assert seen[0] == least and langid.PER_LANGUAGE == 500
+
+
 def test_quality_model_without_negatives():
     r = random.Random(2)
     good = lambda: " ".join(r.choice(["the", "ship", "sails", "over", "a", "sea,", "and", "home."]) + str(r.randrange(3)) * r.randrange(2) for _ in range(60))
