@@ -55,8 +55,14 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *rules.FIGURES, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10_rules that SQL can state: the base figures and the base rule."""
+    out = rules.figures(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *rules.FIGURES, rules.base_failed().alias("base_failed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii, op2_packing, op3_mixing, op4_near_dedup, op5_media, op6_tokens, op7_pages, op8_quality, op9_language, op10_rules)
+    own = (op1_pii, op2_packing, op3_mixing, op4_near_dedup, op5_media, op6_tokens, op7_pages, op8_quality, op9_language, op10_rules, rules_base)
     return {f.__name__: f for f in own}
 
 
@@ -74,7 +80,19 @@ SELECT x.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, x.doc_id = c.co
 FROM documents x LEFT JOIN n ON n.doc_id = x.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = x.doc_id"""
 
 
+#: Words in three-word windows that come twice or more, by position.
+RULES_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
+y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM x),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM y, range(3) o(k) WHERE n > 1 GROUP BY doc_id),
+f AS (SELECT d.doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  [l FOR l IN string_split(t, chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r ON r.doc_id = d.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Of the ten, SQL can state near_dedup's result; the others need tokenizers, hashes, positions of matches or fitted
-    models, and are tested against plain versions."""
-    return {"op4_near_dedup": NEAR_DEDUP_SQL}
+    """Of the ten, SQL can state near_dedup's result and the rules' base figures; the others need tokenizers, hashes,
+    positions of matches or fitted models, and are tested against plain versions."""
+    return {"op4_near_dedup": NEAR_DEDUP_SQL, "rules_base": RULES_BASE_SQL}

@@ -1,9 +1,13 @@
-"""Quality rules as weak supervision: each rule votes good, bad or abstains; expectation-maximisation over the
-counts of vote patterns estimates how often each rule is right and the share of good text; the posterior probability of
-good text replaces the usual all-must-pass filter.
+"""Quality rules as weak supervision: each rule votes good, votes bad or abstains; expectation-maximisation over the
+counts of vote patterns estimates how often each rule gives each vote in good and in bad text, and the share of good
+text; the posterior probability of good text replaces the usual all-must-pass filter.
 
-DataFrame functions only. A pass over the texts makes one row of figures a document; the fit sees nothing but
-the number of documents of each vote pattern, at most 2 ** len(RULES) rows whatever the corpus holds.
+The two classes are told apart because rules overlap (several of them look at one kind of trouble from different sides,
+five vote both ways) and the fit starts from rules that are better than chance. No rate is clamped: a rule that
+turns out to vote alike in both classes weighs nothing, and a vote that good text often gets can be outweighed.
+
+DataFrame functions only. A pass over the texts makes one row of figures a document; the fit sees nothing but the number
+of documents of each vote pattern, at most 3 ** len(RULES) rows whatever the corpus holds.
 
 Cases: a null or empty text has no words, so that its figures are 0 and the base rule rejects it. A null id
 stays null. Repeated rows give repeated results. An empty table gives an empty result and the starting
@@ -19,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import BLANK_CLASS, BLANKS, WORD_CLASS, cut, text_of
+from peakloom.llm.common import BLANK_CLASS, BLANKS, WORD_CLASS, cut, stored, text_of
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -82,7 +86,9 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
         long(F.size("__lines"), "n_lines"),
         long(F.regexp_count("__text", F.lit("[A-Z][A-Z]+")), "n_capital_runs"),
         long(F.regexp_count("__text", F.lit("[.!?](?=[\\s]|$)")), "n_stops"),
-        long(F.size(F.array_intersect("__words", F.array(*map(F.lit, FUNCTION_WORDS)))), "n_function_words"),
+        long(F.size(F.filter("__words", lambda w: F.lower(w).isin(*FUNCTION_WORDS))), "n_function_words"),
+        long(F.regexp_count("__text", F.lit(r"\p{L}" + WORD_CLASS + "*+")), "n_letter_words"),
+        long(F.regexp_count("__text", F.lit(f"(?<!{WORD_CLASS})" + r"\p{L}[\p{L}'’-]*+[.,;:!?]*+" + f"(?!{WORD_CLASS})")), "n_plain_words"),
     )
 
 
@@ -90,97 +96,113 @@ def _share(top: str, bottom: str) -> Column:
     return F.col(top) / F.greatest(F.col(bottom), F.lit(1))
 
 
-#: Each rule's vote when it votes: 1 good, -1 bad. Else it abstains: a text without many symbols isn't thereby good.
-SIGNS = {"word_length": -1, "symbols": -1, "capitals": -1, "lines_twice": -1, "words_repeated": -1, "no_sentences": -1, "sentences": 1, "function_words": 1}
-RULES = tuple(SIGNS)
+def _either(good: Column | None, bad: Column) -> Column:
+    """1 for good, -1 for bad, 0 for an abstention; where neither can be told (null) the rule abstains."""
+    vote = F.when(bad, F.lit(-1))
+    if good is not None:
+        vote = vote.when(good, F.lit(1))
+    return vote.otherwise(F.lit(0))
 
 
 def votes() -> dict[str, Column]:
-    """When each rule votes, over the columns of figures()."""
+    """The vote of each rule over the columns of figures(). Rules about one kind of trouble only vote bad: a text without
+    many symbols isn't thereby good."""
     length, symbols = _share("word_chars", "n_words"), _share("n_symbols", "n_words")
     capitals, stops = _share("n_capital_runs", "n_words"), _share("n_stops", "n_words")
     twice, repeated = _share("n_dup_lines", "n_lines"), _share("n_repeat_words", "n_words")
+    function, letters, plain = (_share(c, "n_words") for c in ("n_function_words", "n_letter_words", "n_plain_words"))
     return {
-        "word_length": (length < 2) | (length > 14),
-        "symbols": symbols > 0.1,
-        "capitals": capitals > 0.3,
-        "lines_twice": twice > 0.4,
-        "words_repeated": repeated > 0.3,
-        "no_sentences": (F.col("n_words") >= 100) & (stops < 0.004),
-        "sentences": (stops >= 0.02) & (stops <= 0.5),
-        "function_words": F.col("n_function_words") >= 4,
+        "word_length": _either((length >= 3) & (length <= 10), (length < 2) | (length > 14)),
+        "symbols": _either(None, symbols > 0.1),
+        "capitals": _either(None, capitals > 0.3),
+        "lines_twice": _either(None, twice > 0.4),
+        "words_repeated": _either(None, repeated > 0.3),
+        "sentences": _either((stops >= 0.02) & (stops <= 0.3), (stops < 0.004) | (stops > 0.5)),
+        "function_words": _either(function >= 0.1, function < 0.03),
+        "letters": _either(letters >= 0.95, letters < 0.8),
+        "plain_words": _either(plain >= 0.8, plain < 0.5),
     }
 
 
+RULES = ("word_length", "symbols", "capitals", "lines_twice", "words_repeated", "sentences", "function_words", "letters", "plain_words")
+VOTES = (-1, 0, 1)
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 #: The share of good documents at which the fit starts.
 PRIOR = 0.8
+#: Times the rate over all text that a vote (bad, none, good) has in good and in bad text when the fit starts.
+START_GOOD, START_BAD = (0.3, 1.0, 1.0), (3.0, 1.0, 0.5)
+#: Documents that the start counts for in each estimate: so few that it decides only where the corpus says nothing.
+PSEUDO = 2.0
 
 
 @dataclass
 class VoteModel:
-    """prior: share of good documents. right: how often each rule is right when it votes."""
+    """prior: share of good documents. good, bad: for each rule the rates of its votes (bad, none, good) in such text."""
 
     prior: float = PRIOR
-    right: dict[str, float] = field(default_factory=lambda: {k: 0.96 if s < 0 else 0.58 for k, s in SIGNS.items()})
+    good: dict[str, tuple[float, ...]] = field(default_factory=lambda: {k: _scaled(START_GOOD) for k in RULES})
+    bad: dict[str, tuple[float, ...]] = field(default_factory=lambda: {k: _scaled(START_BAD) for k in RULES})
 
-    def weights(self) -> tuple[float, dict[str, float]]:
-        """Log odds of good: at the start, and what a vote of each rule adds."""
-        odds = lambda p: math.log(p / (1 - p))
-        return odds(self.prior), {k: SIGNS[k] * odds(p) for k, p in self.right.items()}
+    def weights(self) -> tuple[float, dict[str, dict[int, float]]]:
+        """Log odds of good: at the start, and what each vote of each rule adds."""
+        return math.log(self.prior / (1 - self.prior)), {k: {v: math.log(a / b) for v, a, b in zip(VOTES, self.good[k], self.bad[k], strict=True)} for k in RULES}
+
+    def log_odds(self, pattern: Iterable[int]) -> float:
+        """Of good, for one pattern of votes."""
+        start, each = self.weights()
+        return start + sum(each[k][v] for k, v in zip(RULES, pattern, strict=True))
 
     def posterior(self) -> Column:
         """The probability of good over the columns of figures()."""
         start, each = self.weights()
         total = F.lit(start)
-        for k, fires in votes().items():
-            total = total + F.when(fires, F.lit(each[k])).otherwise(F.lit(0.0))
+        for k, vote in votes().items():
+            total = total + _weighed(vote, each[k])
         return 1 / (1 + F.exp(-total))
 
 
-#: How often a rule can be right: on its side of 0.5. Votes for good text also have an upper bound, as they come together
-#: in any prose and say little about what else is in a text; one for bad text is held short of certainty.
-BOUNDS = {-1: (0.505, 0.995), 1: (0.505, 0.7)}
-#: The share of good documents that an estimate can reach: a kind of bad text too rare to move it is still weighed.
-PRIOR_BOUNDS = (0.05, 0.95)
+def _weighed(vote: Column, weights: dict[int, float]) -> Column:
+    return let(vote, lambda v: F.when(v == -1, weights[-1]).when(v == 1, weights[1]).otherwise(weights[0]))
+
+
+def _scaled(values: Iterable[float]) -> tuple[float, ...]:
+    own = tuple(values)
+    return tuple(v / sum(own) for v in own)
 
 
-def fit_patterns(counts: dict[tuple[bool, ...], int], prior: float = PRIOR, rounds: int = 500, tolerance: float = 1e-7) -> VoteModel:
-    """Expectation-maximisation over counts of patterns (which rules voted), with two classes in each of which a rule
-    votes at a rate of its own, so that classes of any size are told apart. A rule that votes more often in the wrong class
-    counts as voting alike in both. How often a rule is right is its rate in the class it votes for, of the sum of both
-    rates; that estimate carries a few pseudo-counts, so that rare votes can't reach certainty, and so does the share of
-    good documents, which starts at prior."""
-    model, n_docs = VoteModel(prior), sum(counts.values())
+def fit_patterns(counts: dict[tuple[int, ...], int], prior: float = PRIOR, rounds: int = 500, tolerance: float = 1e-9) -> VoteModel:
+    """Expectation-maximisation over counts of vote patterns, with two classes in each of which a rule gives each vote, or
+    none, at a rate of its own. It starts from better than chance: the corpus rates, with bad votes rarer in good text
+    and more common in bad text, good votes the other way round. Each estimate counts that start as PSEUDO documents
+    more, so that no rate is 0."""
+    n_docs = sum(counts.values())
     if not n_docs:
-        return model
-    start, each = model.weights()
-    silent = dict.fromkeys(RULES, 0.0)  # what a rule's silence adds; only the fit hears it
+        return VoteModel(prior)
+    share = {k: [sum(n for p, n in counts.items() if p[i] == v) / n_docs + 1e-6 for v in VOTES] for i, k in enumerate(RULES)}
+    start_good = {k: _scaled(x * y for x, y in zip(share[k], START_GOOD, strict=True)) for k in RULES}
+    start_bad = {k: _scaled(x * y for x, y in zip(share[k], START_BAD, strict=True)) for k in RULES}
+    model = VoteModel(prior, start_good, start_bad)
     for _ in range(rounds):
-        good, fired_good, fired_all = 0.0, dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0)
+        start, each = model.weights()
+        good, in_good, in_all = 0.0, {k: dict.fromkeys(VOTES, 0.0) for k in RULES}, {k: dict.fromkeys(VOTES, 0) for k in RULES}
         for pattern, n in counts.items():
-            odds = start + sum(each[k] if fired else silent[k] for k, fired in zip(RULES, pattern, strict=True))
-            p = 1 / (1 + math.exp(-odds))
+            odds = start + sum(each[k][v] for k, v in zip(RULES, pattern, strict=True))
+            p = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
             good += n * p
-            for k, fired in zip(RULES, pattern, strict=True):
-                if fired:
-                    fired_good[k] += n * p
-                    fired_all[k] += n
-        right = {}
-        for k, sign in SIGNS.items():
-            a, b = (fired_good[k] + 0.5) / (good + 1), (fired_all[k] - fired_good[k] + 0.5) / (n_docs - good + 1)
-            if sign * (a - b) < 0:
-                a = b = (fired_all[k] + 0.5) / (n_docs + 1)
-            each[k], silent[k] = math.log(a / b), math.log((1 - a) / (1 - b))
-            share = (a if sign > 0 else b) / (a + b)
-            right[k] = min(BOUNDS[sign][1], max(BOUNDS[sign][0], (2.7 + share * fired_all[k]) / (3.0 + fired_all[k])))
-        share = (10 * prior + good) / (10 + n_docs)
-        start = math.log(share / (1 - share))
-        new = VoteModel(min(PRIOR_BOUNDS[1], max(PRIOR_BOUNDS[0], share)), right)
-        moved = abs(new.prior - model.prior) + sum(abs(new.right[k] - model.right[k]) for k in RULES)
+            for k, v in zip(RULES, pattern, strict=True):
+                in_good[k][v] += n * p
+                in_all[k][v] += n
+        new = VoteModel(
+            (good + PSEUDO * prior) / (n_docs + PSEUDO),
+            {k: _scaled(in_good[k][v] + PSEUDO * s for v, s in zip(VOTES, start_good[k], strict=True)) for k in RULES},
+            {k: _scaled(max(0.0, in_all[k][v] - in_good[k][v]) + PSEUDO * s for v, s in zip(VOTES, start_bad[k], strict=True)) for k in RULES},
+        )
+        moved = abs(new.prior - model.prior)
         model = new
         if moved < tolerance:
             break
@@ -188,9 +210,9 @@ def fit_patterns(counts: dict[tuple[bool, ...], int], prior: float = PRIOR, roun
 
 
 def fit(figured: DataFrame) -> VoteModel:
-    """The model of a frame of figures. Comes to the driver: one row a vote pattern, 2 ** len(RULES) at most."""
+    """The model of a frame of figures. Comes to the driver: one row a vote pattern, 3 ** len(RULES) at most."""
     rows = figured.select(*[v.alias(k) for k, v in votes().items()]).groupBy(*RULES).count().collect()
-    return fit_patterns({tuple(r[k] for k in RULES): r["count"] for r in rows})
+    return fit_patterns({tuple(r[k] for k in RULES): r["count"] for r in sorted(rows)})
 
 
 def judge(figured: DataFrame, model: VoteModel) -> DataFrame:
@@ -205,17 +227,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep, with their columns as they were. The texts are read twice, once to
-    fit and once to filter, rather than copied or joined by an id that may repeat."""
+    """The rows of docs that the rules keep, with their columns as they were. Rows are written once with their figures,
+    so texts are neither taken apart twice nor joined by an id that may repeat."""
     plain = [f"__c{i}" for i in range(len(docs.columns))]
-    work = docs.toDF(*plain)
     names = dict(zip(docs.columns, plain, strict=True))
-    make = lambda keep: figures(work, names[id_col], names[text_col], keep)
-    model = fit(make(()))
-    figured = make(plain)
-    # inline() stands between the figures and the filter, which else would be rewritten over their expressions, each
-    # of them repeated wherever the posterior mentions it
-    marks = [c for c in figured.columns if c not in plain and c != "doc_id"]
-    figured = figured.select("doc_id", *[c for c in figured.columns if c in plain], F.inline(F.array(F.struct(*marks))))
-    out = judge(figured, model).where("kept")
+    figured = stored(figures(docs.toDF(*plain), names[id_col], names[text_col], plain))
+    out = judge(figured, fit(figured)).where("kept")
     return out.select(*[F.col("doc_id" if c == names[id_col] else c).alias(o) for o, c in zip(docs.columns, plain, strict=True)])

@@ -79,6 +79,24 @@ def test_rules(docs, empty):
     assert rules.quality_rules(empty).count() == 0
 
 
+def test_rules_against_labels(spark):
+    """The fit sees no label. Of labelled texts that pass the base rule it keeps the good and drops the bad, and its verdict
+    is neither that of the untrained model nor all-must-pass."""
+    path = "/root/testdata/sf0.1"
+    figured = rules.figures(spark.read.parquet(f"{path}/documents.parquet")).cache()
+    model = rules.fit(figured)
+    labels = spark.read.parquet(f"{path}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    own = rules.judge(figured, model).join(labels, "doc_id", "left").where("not base_failed")
+    one_bad = F.least(*rules.votes().values()) < 0
+    got = {(r.quality, r.kept, r.bad): r["count"] for r in own.groupBy("quality", "kept", one_bad.alias("bad")).count().collect()}
+    n = lambda quality, kept: sum(v for k, v in got.items() if k[:2] == (quality, kept))
+    assert n(1, True) >= 0.99 * (n(1, True) + n(1, False)) and n(0, False) >= 0.99 * (n(0, True) + n(0, False))
+    assert sum(v for (_, kept, bad), v in got.items() if kept and bad) > 0
+    start = rules.VoteModel()
+    p = lambda m: [r[0] for r in figured.orderBy("doc_id").select(F.round(m.posterior(), 9)).collect()]
+    assert sum(a != b for a, b in zip(p(model), p(start), strict=True)) > 9_000
+
+
 def test_repeated_words(spark):
     r = random.Random(9)
     texts = [" ".join(r.choice("abcd") for _ in range(r.randrange(40))) for _ in range(150)] + ["a b c\na b c\n\na b c", "  a  b\x0bc \x0c"]
@@ -310,4 +328,4 @@ def test_registered(spark):
     import __spark_entry__
 
     assert set(queries.queries()) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert [f"op{n}_" for n in range(1, 11)] == [re.match(r"op\d+_", k)[0] for k in queries.queries()]
+    assert [f"op{n}_" for n in range(1, 11)] == [m[0] for k in queries.queries() if (m := re.match(r"op\d+_", k))]

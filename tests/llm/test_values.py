@@ -291,38 +291,61 @@ def test_broken_pages_take_linear_time():
         pages.main_text(page)
 
 
-def test_rule_model():
-    counts = {}
-    r = random.Random(4)
-    for _ in range(4000):
-        good = r.random() < 0.8
-        fired = tuple((r.random() < (0.02 if good else 0.6)) if rules.SIGNS[k] < 0 else (r.random() < (0.7 if good else 0.3)) for k in rules.RULES)
-        counts[fired] = counts.get(fired, 0) + 1
-    model = rules.fit_patterns(counts)
-    assert all(rules.BOUNDS[s][0] <= model.right[k] <= rules.BOUNDS[s][1] for k, s in rules.SIGNS.items())
-    _, each = model.weights()
-    assert all(each[k] * s > 0 for k, s in rules.SIGNS.items()) and model.right["symbols"] > 0.95
+def _patterns(seed, n, share, rates):
+    """Counts of vote patterns of n texts, a share of them good; rates: by rule, (bad, good) votes in good and in bad text."""
+    r, counts = random.Random(seed), {}
+    for _ in range(n):
+        good = r.random() < share
+        pattern = []
+        for k in rules.RULES:
+            x, (bad, fine) = r.random(), rates[k][not good]
+            pattern.append(-1 if x < bad else 1 if x < bad + fine else 0)
+        counts[tuple(pattern)] = counts.get(tuple(pattern), 0) + 1
+    return counts
+
+
+BOTH_WAYS = ("word_length", "sentences", "function_words", "letters", "plain_words")
+#: Rules that vote both ways are right nine times in ten; those that only vote bad do so in a third of bad text.
+RATES = {k: ((0.05, 0.9), (0.7, 0.15)) if k in BOTH_WAYS else ((0.01, 0.0), (0.35, 0.0)) for k in rules.RULES}
+
+
+@pytest.mark.parametrize("share", [0.5, 0.8, 0.95])
+def test_rule_model_finds_the_rates(share):
+    model = rules.fit_patterns(_patterns(4, 6000, share, RATES))
+    assert abs(model.prior - share) < 0.03
+    for k in rules.RULES:
+        for own, (bad, fine) in ((model.good[k], RATES[k][0]), (model.bad[k], RATES[k][1])):
+            assert abs(own[0] - bad) < 0.08 and abs(own[2] - fine) < 0.08 and abs(sum(own) - 1) < 1e-9
     assert rules.fit_patterns({}) == rules.VoteModel()
 
 
-def test_a_bad_vote_weighs_what_the_corpus_says():
-    """One bad vote beside both good ones: kept where good text has it as often as bad, dropped where only bad text has it."""
+def _votes(**own):
+    return [own.get(k, 1 if k in BOTH_WAYS else 0) for k in rules.RULES]
+
+
+def test_one_bad_vote_is_outweighed_by_several_good_ones():
+    """All-must-pass would drop the first two; the model drops them only with more bad votes, or fewer good ones."""
+    model = rules.fit_patterns(_patterns(5, 6000, 0.8, RATES))
+    assert model.log_odds(_votes(sentences=-1)) > 0 and model.log_odds(_votes(symbols=-1)) > 0
+    assert model.log_odds(_votes(symbols=-1, sentences=-1, function_words=-1, letters=-1)) < 0
+    assert model.log_odds(_votes(symbols=-1, **dict.fromkeys(BOTH_WAYS, 0))) < 0
+
+
+def test_the_same_votes_get_the_verdict_that_the_corpus_gives_them():
+    pattern = _votes(symbols=-1, sentences=0, letters=0, plain_words=0)
     verdicts = []
-    for in_good, in_bad in ((0.5, 0.5), (0.005, 0.6)):
-        r, counts = random.Random(5), {}
-        for _ in range(4000):
-            good = r.random() < 0.8
-            rate = {k: (0.02 if good else 0.6) if s < 0 else (0.9 if good else 0.3) for k, s in rules.SIGNS.items()} | {"symbols": in_good if good else in_bad}
-            fired = tuple(r.random() < rate[k] for k in rules.RULES)
-            counts[fired] = counts.get(fired, 0) + 1
-        model = rules.fit_patterns(counts)
-        assert abs(model.prior - 0.8) < 0.05
-        start, each = model.weights()
-        verdicts.append(start + sum(each[k] for k in ("symbols", "sentences", "function_words")) >= 0)
-        assert start + sum(each[k] for k, s in rules.SIGNS.items() if s < 0) < 0 < start + each["sentences"]
+    for in_good, in_bad in ((0.4, 0.5), (0.001, 0.8)):
+        model = rules.fit_patterns(_patterns(6, 6000, 0.8, RATES | {"symbols": ((in_good, 0.0), (in_bad, 0.0))}))
+        verdicts.append(model.log_odds(pattern) > 0)
     assert verdicts == [True, False]
 
 
+def test_a_rule_that_votes_by_chance_weighs_little():
+    model = rules.fit_patterns(_patterns(7, 6000, 0.8, RATES | {"capitals": ((0.2, 0.0), (0.2, 0.0))}))
+    _, each = model.weights()
+    assert abs(each["capitals"][-1]) < 0.4 < abs(each["symbols"][-1])
+
+
 def test_language_model():
     r = random.Random(1)
     make = lambda parts: " ".join("".join(r.choice(parts) for _ in range(r.randrange(1, 4))) for _ in range(40))
