@@ -248,6 +248,7 @@ def test_pages(spark, sf):
     rows = spark.createDataFrame([(1, "u", "<article><p>one<p>two</article>", 1), (None, None, None, 2), (3, "", "", 3)], "page_id long, url string, html string, text int")
     _same(pages.extract(rows).collect(), [(1, "u", "one two", 7), (None, None, "", 0), (3, "", "", 0)])
     assert pages.extract(rows.limit(0)).count() == 0
+    # the fixture's own markup says what its article is; the operator doesn't read that pattern
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
         article = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         import html as h

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -286,9 +287,53 @@ def test_quotes_take_linear_time():
         pages.main_text(page)
 
 
-def test_broken_pages_take_linear_time():
-    for page in ("<" * 200_000, '<a "' * 20_000, "<p>" * 20_000, "<!--" * 50_000, "</b>" * 50_000):
+@pytest.mark.parametrize("unit", ["<", '<a "', "<p>", "<!--", "</b>", "<b>x", "<div>x", "<p><b>x", "<ul><li>x", "<div class=menu>x", "<table><tr><td>x", "<script>", "<form><article>x", "<span><div>x</p>"])
+def test_broken_and_deep_pages_take_linear_time(unit):
+    def seconds(n):
+        page, began = unit * n, time.process_time()
         pages.main_text(page)
+        return time.process_time() - began
+
+    seconds(2_000)
+    few, many = min(seconds(8_000) for _ in range(3)), seconds(64_000)
+    assert many < 32 * few + 0.5  # 8 times the work; with the square of it, 64 times
+
+
+def _article_page(r, paragraphs, article, wide):
+    """A page and its article: menus, adverts and a footer around paragraphs, with or without an article element and class
+    words."""
+    word = lambda: "".join(r.choice("aeionrstlk") for _ in range(r.randrange(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n)).capitalize()
+    own = [line(6)] + [", ".join(line(r.randrange(4, 9)) for _ in range(r.randrange(3, 8))) + "." for _ in range(paragraphs)]
+    inner = f"<h1>{own[0]}</h1>" + "".join(f"<p>{x}</p>" for x in own[1:])
+    box = {"article": f"<article>{inner}</article>", "div": f"<div class=post>{inner}</div>", "deep": f"<div><section><div>{inner}</div></section></div>"}[article]
+    menu, side = "".join(f"<li><a href=x>{word()}</a></li>" for _ in range(r.randrange(4, 12))), f"<div class=c1>{line(3)}</div>"
+    around = (f"<ul class=c2>{menu}</ul>{side}", f"<div class=c3>&copy; {line(4)}</div>") if not wide else (f"<nav><ul>{menu}</ul></nav><div class=ad>{line(3)}</div>", f"<footer>&copy; {line(4)}</footer>")
+    return f"<html><head><title>t</title><style>p{{}}</style></head><body>{around[0]}{box}{around[1]}</body></html>", " ".join(own)
+
+
+@pytest.mark.parametrize("article", ["article", "div", "deep"])
+@pytest.mark.parametrize("wide", [False, True])
+def test_ratios_find_the_article(article, wide, monkeypatch):
+    """With and without an article element, with and without words that mark what is around it. Without the ratios, all
+    paths alike or a random half of them, the texts are other ones."""
+    r = random.Random(11)
+    made = [_article_page(r, r.randrange(2, 12), article, wide) for _ in range(60)]
+    wrong = lambda: sum(pages.main_text(page) != text for page, text in made)
+    assert wrong() == 0 if wide else wrong() <= 9  # a footer of some length beside two short paragraphs
+    with monkeypatch.context() as m:
+        m.setattr(pages, "path_ratios", lambda page, own: np.ones(len(own)))
+        assert wrong() > 55
+    with monkeypatch.context() as m:
+        m.setattr(pages, "content_paths", lambda page, own, marked: {p for p in {page.path[page.at[i]] for i in own} if r.random() < 0.5} or {0})
+        assert wrong() > 20
+
+
+def test_class_words_inside_the_article_drop_nothing():
+    words = "Words of an article, one after another. " * 12
+    page = f"<body><nav><a>x</a></nav><article><div class='entry-header'><h1>Title</h1></div><p>{words}</p><p class='notice-of-intent'>{words}</p><table class='table-header'><tr><td>Cell one</td></tr></table><p>{words}</p><div class=comments><p>First! I agree.</p></div></article></body>"
+    got = pages.main_text(page)
+    assert got == f"Title {words}{words}Cell one {words}".strip()
 
 
 def _patterns(seed, n, share, rates):
