@@ -1,23 +1,26 @@
 """Best-fit packing by a linear grouping scheme.
 
 Documents become token ids with a closing id; those over the capacity are cut, the rest of the division first. Pieces
-of the full capacity are sequences of their own. The others are packed from the histogram of their lengths, which has
+of the full capacity are sequences of their own. The others are planned from the histogram of their lengths, which has
 fewer than capacity rows whatever the corpus holds:
 1. Large pieces, longest first, fall into groups of equal number; lengths are rounded up to the longest of the group.
 2. Few sizes are left, so full configurations are found by reachability over sizes (the fullest set beside the largest
    size that remains) and used as often as the groups' counts allow.
 3. Actual pieces take the places of their group's rounded ones by rank, which leaves gaps of known sizes.
 4. Small pieces go into the gaps, longest first, each length into the smallest gap that takes it (best fit), by counts.
-The plans are lists of ranges of ranks; pieces find their place by their rank among pieces of equal length. Ranks are
-counted in salted parts, so that no length's pieces meet in one task; nothing but histograms reaches the driver.
+What is small is settled by planning with each share in SMALL and taking the plan with the fewest sequences. The plan is
+a list of ranges of ranks; pieces find their place by their rank among pieces of equal length. Ranks are counted in
+salted parts, so that no length's pieces meet in one task; nothing but the histogram reaches the driver.
 
 Cases: a null text is the empty one: one piece that holds the closing id. A null id stays null, repeated rows are
-packed as often as they occur, other columns are not read, an empty table gives an empty result.
+packed as often as they occur, other columns are not read, an empty table gives an empty result. Very long runs of white
+space are encoded like any other text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,20 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import cut, in_slices, map_arrow, text_of
+from peakloom.llm.common import cut, in_slices, light, map_arrow, text_of
 from peakloom.llm.tokens import _ODD, byte_letters, default_tokenizer
 
-GROUPS = 512
-#: Pieces up to this share of the capacity are small.
-SMALL = 8
-#: Rows that are ranked in one task.
-RANKED = 100_000
+GROUPS = 1024
+#: Pieces up to one of these shares of the capacity are small.
+SMALL = (8, 4, 3)
+#: Rows of equal length that are ranked in one task, and the fewest parts of a length.
+RANKED, PARTS = 100_000, 16
+#: A run of white space, for which the fast encoder's regular expressions would take a level of their stack a character.
+_RUN = re.compile(r"\s{5000}")
 
 
 class Encoder:
     """Ids as the tokenizers library gives them for a byte-level BPE file, whose ids are the ranks of its merges: such
     a vocabulary is encoded by tiktoken, several times as fast, and texts with characters or special strings that the
-    two might treat apart go to the library itself."""
+    two might treat apart, or with very long runs of white space, go to the library itself."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -65,7 +70,7 @@ class Encoder:
         return made
 
     def ids(self, text: str) -> np.ndarray:
-        if _ODD.search(text) or any(s in text for s in self.special):
+        if _ODD.search(text) or any(s in text for s in self.special) or _RUN.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.fast.encode_ordinary(text), "<u4")
 
@@ -206,66 +211,80 @@ def plan_small(hist: dict[int, int], gaps: dict[int, int], capacity: int) -> tup
     return out, at - known
 
 
-def ranked(rows: DataFrame, key: str, unique: str, n_rows: int, name: str = "rank") -> DataFrame:
-    """Adds the rank, from 0, of each row among those of equal key; any order, but fixed. Rows are counted in salted
-    parts of about RANKED rows, the parts' sums give where each one starts."""
-    salts = max(1, -(-n_rows // RANKED))
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(unique), F.lit(salts)))
+def _gaps(ranges: list[tuple[int, int, int, int, int]], capacity: int) -> list[tuple[int, int, int]]:
+    """(gap, first sequence, sequences) of the runs of sequences between the ends of plan_large()'s ranges, by gap."""
+    if not ranges:
+        return []
+    edges = np.unique([e for *_, bin0, n in ranges for e in (bin0, bin0 + n)])
+    step = np.zeros(len(edges), np.int64)
+    for length, _, _, bin0, n in ranges:
+        step[np.searchsorted(edges, bin0)] += length
+        step[np.searchsorted(edges, bin0 + n)] -= length
+    fill = np.cumsum(step)
+    return sorted((capacity - int(f), int(a), int(b - a)) for a, b, f in zip(edges, edges[1:], fill, strict=False))
+
+
+def plan(hist: dict[int, int], capacity: int, shares: tuple[int, ...] = SMALL, n_groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """plan_large()'s and plan_small()'s ranges for a histogram of lengths below capacity, all with sequences numbered
+    from 0, and how many sequences there are: the best over the shares up to which pieces are small."""
+    best: tuple[list, int] | None = None
+    for share in shares:
+        edge = capacity // share
+        large = plan_large({n: c for n, c in hist.items() if n > edge}, capacity, n_groups)
+        runs = _gaps(large, capacity)
+        known, totals = sum(n for *_, n in runs), defaultdict(int)
+        for gap, _, n in runs:
+            totals[gap] += n
+        small, new = plan_small({n: c for n, c in hist.items() if n <= edge}, totals, capacity)
+        if best is None or known + new < best[1]:
+            # small pieces' sequences are numbered by gap; here they get back the number that large pieces have
+            starts = np.append(0, np.cumsum([n for *_, n in runs])).astype(np.int64)
+            own = []
+            for length, first, end, number, n in small:
+                at = number
+                while at < number + n:
+                    if at >= known:
+                        upto, to = number + n, at
+                    else:
+                        k = int(np.searchsorted(starts, at, "right")) - 1
+                        upto, to = min(number + n, int(starts[k + 1])), runs[k][1] + at - int(starts[k])
+                    own.append((length, first + at - number, first + upto - number, to, upto - at))
+                    at = upto
+            best = large + own, known + new
+    return best or ([], 0)
+
+
+def ranked(rows: DataFrame, key: str, unique: str, counts: dict[int, int], name: str = "rank") -> DataFrame:
+    """Adds the rank, from 0, of each row among those of equal key; any order, but fixed. counts: the rows of each key.
+    Rows are counted in salted parts of at most about RANKED rows, of which the sums give where each part starts."""
+    spark = rows.sparkSession
+    parts = spark.createDataFrame([(int(k), max(PARTS, -(-n // RANKED))) for k, n in counts.items()], "__key long, __parts long")
+    rows = rows.join(F.broadcast(parts), F.col(key) == F.col("__key")).withColumn("__salt", F.pmod(F.xxhash64(unique), F.col("__parts"))).drop("__key", "__parts")
     inside = F.row_number().over(Window.partitionBy(key, "__salt").orderBy(unique)) - 1
-    if salts == 1:
-        return rows.withColumn(name, inside.cast("long")).drop("__salt")
     upto = F.sum("count").over(Window.partitionBy(key).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = rows.groupBy(key, "__salt").count().select(F.col(key).alias("__k"), F.col("__salt").alias("__s"), F.coalesce(upto, F.lit(0)).alias("__from"))
-    out = rows.withColumn("__in", inside).join(starts, (F.col(key) == F.col("__k")) & (F.col("__salt") == F.col("__s")))
+    out = rows.withColumn("__in", inside).join(light(cut(starts)), (F.col(key) == F.col("__k")) & (F.col("__salt") == F.col("__s")))
     return out.withColumn(name, F.col("__from") + F.col("__in")).drop("__salt", "__k", "__s", "__from", "__in")
 
 
-def _placed(rows: DataFrame, key: str, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """Joins rows that have key and rank with a plan's ranges; gives the sequence's number as bin."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame([tuple(map(int, p)) for p in plan], "__len long, __a long, __b long, __bin long, __n long")
+def _placed(rows: DataFrame, key: str, ranges: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """Joins rows that have key and rank with a plan's ranges; gives the sequence's number as bin. The ranges are a bounded
+    number, by the capacity and the groups."""
+    table = rows.sparkSession.createDataFrame([tuple(map(int, p)) for p in ranges], "__len long, __a long, __b long, __bin long, __n long")
     on = (F.col(key) == F.col("__len")) & (F.col("rank") >= F.col("__a")) & (F.col("rank") < F.col("__b"))
     return rows.join(F.broadcast(table), on).withColumn("bin", F.col("__bin") + F.col("rank") - F.col("__a")).drop("__len", "__a", "__b", "__bin", "__n")
 
 
-def _histogram(rows: DataFrame, key: str) -> dict[int, int]:
-    return {r[0]: r[1] for r in rows.groupBy(key).count().collect()}
-
-
 def packed(parts: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to rows with a length from 1 to capacity. The broadcast plans and what reaches the
+    """Adds sequence_id and offset to rows with a length from 1 to capacity. The broadcast plan and what reaches the
     driver have a few rows for each length, so a bound that depends on the capacity and GROUPS only."""
     rows = cut(parts.withColumn("__row", F.monotonically_increasing_id()))
-    hist = _histogram(rows, "length")
-    total = sum(hist.values())
-    edge = capacity // SMALL
-    ordered = ranked(rows.where(F.col("length") < capacity), "length", "__row", total)
-    large_hist = {n: c for n, c in hist.items() if edge < n < capacity}
-    small_hist = {n: c for n, c in hist.items() if n <= min(edge, capacity - 1)}
-    large = cut(_placed(ordered.where(F.col("length") > edge), "length", plan_large(large_hist, capacity)).drop("rank"))
-    gap = large.groupBy("bin").agg((F.lit(capacity) - F.sum("length")).cast("long").alias("gap"))
-    bins = cut(gap)
-    gaps = _histogram(bins, "gap")
-    plan, _ = plan_small(small_hist, gaps, capacity)
-    small = _placed(ordered.where(F.col("length") <= edge), "length", plan).drop("rank")
-    if gaps:
-        # the plan numbers sequences with a gap in the order of gaps; here they get back the number of step 3
-        own = _by_gap(bins, gaps)
-        small = small.join(own, small["bin"] == own["__number"], "left").withColumn("bin", F.coalesce("__own", F.col("bin"))).drop("__number", "__own")
+    hist = {r[0]: r[1] for r in rows.where(F.col("length") < capacity).groupBy("length").count().collect()}
+    ranges, _ = plan(hist, capacity)
+    placed = _placed(ranked(rows.where(F.col("length") < capacity), "length", "__row", hist), "length", ranges).drop("rank")
     full = rows.where(F.col("length") == capacity).withColumn("bin", -1 - F.col("__row"))
-    everything = large.unionByName(small).unionByName(full)
     order = Window.partitionBy("bin").orderBy(F.desc("length"), "__row").rowsBetween(Window.unboundedPreceding, -1)
-    return everything.select(*parts.columns, F.col("bin").alias("sequence_id"), F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long").alias("offset"))
-
-
-def _by_gap(bins: DataFrame, gaps: dict[int, int]) -> DataFrame:
-    """(__number, __own): each sequence's place in the order of gaps, and its number."""
-    starts, at = [], 0
-    for g in sorted(gaps):
-        starts.append((int(g), at))
-        at += gaps[g]
-    table = bins.sparkSession.createDataFrame(starts, "__gap long, __first long")
-    return ranked(bins, "gap", "bin", at).join(F.broadcast(table), F.col("gap") == F.col("__gap")).select((F.col("__first") + F.col("rank")).alias("__number"), F.col("bin").alias("__own"))
+    return placed.unionByName(full).select(*parts.columns, F.col("bin").alias("sequence_id"), F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long").alias("offset"))
 
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -175,6 +175,29 @@ def test_encoder_equals_library(text):
     assert own.ids(text).tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", " \n", "\t", "x", "1", "!", "é", "a ", "\u3000"])
+def test_encoder_on_long_runs(unit):
+    """Among them runs of white space that would overflow the fast encoder's stack."""
+    own = packing.encoder(tokens.default_tokenizer())
+    for text in (unit * 2_000_000, "words here" + unit * 4_999 + "and there"):
+        assert own.ids(text).tolist() == own.library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [1, 30, 3000, 20000])
+def test_plans_come_near_the_bound(n):
+    r = np.random.default_rng(n)
+    lengths = np.clip(np.exp(r.normal(5.5, 1.1, n)), 1, 2047).astype(int)
+    ranges, used = packing.plan({int(k): int(c) for k, c in zip(*np.unique(lengths, return_counts=True), strict=True)}, 2048)
+    fill, ranks = np.zeros(used, int), {}
+    for length, a, b, first, count in ranges:
+        assert b - a == count
+        fill[first : first + count] += length
+        ranks.setdefault(length, []).extend(range(a, b))
+    assert fill.min() > 0 and fill.max() <= 2048 and fill.sum() == lengths.sum()
+    assert all(sorted(v) == list(range((lengths == k).sum())) for k, v in ranks.items())
+    assert used <= 1.001 * -(-lengths.sum() // 2048) + 1 and len(ranges) < 20_000
+
+
 @pytest.mark.parametrize(("n", "groups"), [(1, 4), (7, 2), (500, 16), (5000, 512)])
 def test_packing_plans(n, groups):
     r = np.random.default_rng(n)
