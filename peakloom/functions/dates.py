@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values of the file formats: the two patterns below.
+
 
 def utc_time(text: Column) -> Column:
     """yyyy-MM-dd'T'HH:mm:ss'Z'"""

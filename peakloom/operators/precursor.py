@@ -103,10 +103,10 @@ def trimmed(points: DataFrame) -> DataFrame:
     return own.where((F.col("__n") <= 10) | ((F.col("__k") > 1) & (F.col("__k") < F.col("__n")))).drop("__n", "__k")
 
 
-def calibrated(precursors: DataFrame, points: DataFrame, width: float, least: int = 10) -> DataFrame:
+def calibrated(precursors: DataFrame, points: DataFrame, least: int = 10) -> DataFrame:
     """precursors (id, time, mz) with calibrated_mz: the ppm error at their time, from the line through the points (time,
     error), taken off; unchanged with fewer than least points."""
-    known = interpolated(precursors, "time", points, "time", "error", width, "__ppm")
+    known = interpolated(precursors, "time", points, "time", "error", "__ppm")
     if points.count() < least:
         return precursors.withColumn("calibrated_mz", F.col("mz"))
     return known.select(*precursors.columns, (F.col("mz") - F.col("mz") * F.col("__ppm") / 1e6).alias("calibrated_mz"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakloom.operators.order import ROWS_PER_BIN, bin_by, cuts
+
 
 def within(value: Column, low: float, high: float, bin_col: Column | None = None, width: float | None = None) -> Column:
     """low <= value <= high; with a bin column (floor(value / width)) also the bins' range, so that files and row groups
@@ -46,41 +48,42 @@ def overlap_join(left: DataFrame, l_low: str, l_high: str, right: DataFrame, r_l
     return out.where(F.col("__a") == first).drop("__a", "__b")
 
 
-def neighbours(probes: DataFrame, at: str, rows: DataFrame, key: str, values: list[str], width: float) -> DataFrame:
+def neighbours(probes: DataFrame, at: str, rows: DataFrame, key: str, values: list[str], rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """Each probe with the struct of (key, *values) of the last row at or before it (prev) and of the first row at or
-    after it (next); null where there is none. Ties of key go to the first by values. Rows are reduced to the first
-    and last of each bin of the given width; a running window over bins carries the nearest filled bins, and inside a
-    bin a window over the union of probes and rows finds the rest, so no task holds more than a bin."""
-    own = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*values)).alias("__s"))
-    own = own.select(bin_of(F.col(key), width).alias("__bin"), F.struct(F.col(key).cast("double").alias("key"), *[F.col(f"__s.{v}").alias(v) for v in values]).alias("__r"))
-    edges = own.groupBy("__bin").agg(F.min("__r").alias("__first"), F.max("__r").alias("__last"))
-    asked = probes.withColumn("__bin", bin_of(F.col(at), width))
-    bins = asked.select("__bin").distinct().join(edges, "__bin", "full")
+    after it (next); null where there is none, and for a null probe. Ties of key go to the first by values.
+
+    The distinct times of probes and rows, one narrow row each, are cut to bins by their quantiles; inside a bin prev is
+    a running value in ascending and next one in descending order, each linear, and bins without a row before or after
+    take it from the nearest bin that has one (a window over the bins, order.QUANTILES at most). The probes are joined
+    back by their time, so that many equal ones are a join that Spark can split."""
+    own = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("double").alias("__t")).agg(F.min(F.struct(*values)).alias("__s"))
+    own = own.select("__t", F.struct(F.col("__t").alias("key"), *[F.col(f"__s.{v}").alias(v) for v in values]).alias("__r"))
+    asked = probes.select(F.col(at).cast("double").alias("__t")).where("__t is not null").distinct()
+    both = own.join(asked.withColumn("__asked", F.lit(True)), "__t", "full")
+    found = both.withColumn("__bin", bin_by(F.col("__t"), sorted(set(cuts(both, F.col("__t"), rows_per_bin)))))
+    edges = found.groupBy("__bin").agg(F.min("__r").alias("__first"), F.max("__r").alias("__last"))
     back = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.orderBy("__bin").rowsBetween(1, Window.unboundedFollowing)
-    bins = bins.select("__bin", F.last("__last", ignorenulls=True).over(back).alias("__back"), F.first("__first", ignorenulls=True).over(ahead).alias("__ahead"))
-    columns = probes.columns
-    marked = asked.select("__bin", F.col(at).cast("double").alias("__t"), F.lit(None).cast(own.schema["__r"].dataType).alias("__r"), F.struct(*columns).alias("__p"))
-    both = marked.unionByName(own.select("__bin", F.col("__r.key").alias("__t"), "__r", F.lit(None).cast(marked.schema["__p"].dataType).alias("__p")))
-    upto = Window.partitionBy("__bin").orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    from_ = Window.partitionBy("__bin").orderBy("__t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumns({"__prev": F.max("__r").over(upto), "__next": F.min("__r").over(from_)}).where("__p is not null")
-    return found.join(bins, "__bin").select("__p.*", F.coalesce("__prev", "__back").alias("prev"), F.coalesce("__next", "__ahead").alias("next"))
-
-
-def nearest(probes: DataFrame, at: str, rows: DataFrame, key: str, values: list[str], width: float) -> DataFrame:
+    ahead = Window.orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = edges.select("__bin", F.last("__last", ignorenulls=True).over(back).alias("__back"), F.last("__first", ignorenulls=True).over(ahead).alias("__ahead"))
+    upto = lambda *order: Window.partitionBy("__bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("__prev", F.last("__r", ignorenulls=True).over(upto("__t"))).withColumn("__next", F.last("__r", ignorenulls=True).over(upto(F.desc("__t"))))
+    found = found.where("__asked").join(F.broadcast(bins), "__bin").select(F.col("__t").alias("__at"), F.coalesce("__prev", "__back").alias("prev"), F.coalesce("__next", "__ahead").alias("next"))
+    return probes.join(found, F.col(at).cast("double") == F.col("__at"), "left").drop("__at")
+
+
+def nearest(probes: DataFrame, at: str, rows: DataFrame, key: str, values: list[str], rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """Each probe with the columns key and values of the row nearest to it; the lower key wins a tie."""
-    both = neighbours(probes, at, rows, key, values, width)
+    both = neighbours(probes, at, rows, key, values, rows_per_bin)
     lower = F.col("next").isNull() | (F.abs(F.col(at) - F.col("prev.key")) <= F.abs(F.col("next.key") - F.col(at)))
     pick = F.when(F.col("prev").isNotNull() & lower, F.col("prev")).otherwise(F.col("next"))
     return both.withColumn("__n", pick).select(*probes.columns, F.col("__n.key").alias(key), *[F.col(f"__n.{v}").alias(v) for v in values])
 
 
-def interpolated(probes: DataFrame, at: str, points: DataFrame, x: str, y: str, width: float, name: str = "y") -> DataFrame:
+def interpolated(probes: DataFrame, at: str, points: DataFrame, x: str, y: str, name: str = "y", rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """Each probe with the value of the line through the neighbouring points; before the first and after the last one
     theirs. Points of equal x count with their mean; null without points."""
     merged = points.groupBy(x).agg(F.avg(y).alias(y))
-    both = neighbours(probes, at, merged, x, [y], width)
+    both = neighbours(probes, at, merged, x, [y], rows_per_bin)
     a, b = F.col("prev"), F.col("next")
     line = a[y] + (b[y] - a[y]) * (F.col(at) - a["key"]) / (b["key"] - a["key"])
     value = F.when(a.isNull(), b[y]).when(b.isNull() | (a["key"] == b["key"]), a[y]).otherwise(line)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -63,21 +64,25 @@ def renumbered(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
 
 def anchored_rows(spectra: DataFrame, width: float, group: list[str]) -> DataFrame:
     """Time rows as a writer opens them: the first spectrum opens one, and each that is more than width later than the
-    opening one opens the next. The rule is sequential within a group (run, level, window), so a group's times and ids
-    are walked in one task, which holds headers of a run at most, never peaks."""
+    opening one opens the next. The rule is sequential within a group (run, level, window): give the run as part of the
+    group where there are several. A group's headers pass through one task in sorted batches, which keeps nothing but
+    the group and the opening time from one batch to the next."""
     own = spectra.select(*group, "id", F.col("time").cast("double").alias("time"))
     schema = T.StructType([*own.schema.fields, T.StructField("row_start", T.DoubleType())])
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["time", "id"], kind="stable")
-        starts, opened = [], None
-        for t in frame["time"].tolist():
-            if opened is None or t - opened > width:
-                opened = t
-            starts.append(opened)
-        return frame.assign(row_start=starts)
-
-    return own.groupBy(*group).applyInPandas(fold, schema)
+    dealt = own.repartition(*group).sortWithinPartitions(*group, "time", "id")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, opened = None, 0.0
+        for frame in frames:
+            starts = []
+            keys = frame[group].astype(object).where(frame[group].notna(), None)
+            for key, t in zip(keys.itertuples(index=False, name=None), frame["time"].tolist(), strict=True):
+                if key != last or t - opened > width:
+                    last, opened = key, t
+                starts.append(opened)
+            yield frame.assign(row_start=starts)
+
+    return dealt.mapInPandas(fold, schema)
 
 
 def dia_histogram(peaks: DataFrame, spectra: DataFrame, bin_size: float = 1.0) -> DataFrame:

@@ -169,7 +169,7 @@ def header_by_id(s, d):
 def header_for_time(s, d):
     probes = table(s, d, "events").select("event_id", (F.col("user_id").cast("double") * 1.7).alias("t"))
     ms1 = adapters.spectra(s, d).where("ms_level = 1").select("id", "time")
-    return ranges.nearest(probes, "t", ms1, "time", ["id"], 60.0)
+    return ranges.nearest(probes, "t", ms1, "time", ["id"])
 
 
 @query(" SELECT id FROM sp WHERE ms_level = 2 AND time BETWEEN 30.0 AND 90.0")
@@ -482,7 +482,7 @@ _LINE = (
 def interpolate(s, d):
     probes = table(s, d, "events").select("event_id", F.col("value").alias("t"))
     points = adapters.spectra(s, d).where("ms_level = 1").select(F.col("time").alias("x"), F.col("tic0").alias("y0"))
-    return ranges.interpolated(probes, "t", points, "x", "y0", 60.0).select("event_id", "t", F.round("y", 4).alias("y"))
+    return ranges.interpolated(probes, "t", points, "x", "y0").select("event_id", "t", F.round("y", 4).alias("y"))
 
 
 # ------------------------------------------------------------------------------------- precursors and calibration
@@ -518,7 +518,7 @@ def calibrated_precursor(s, d):
     own = adapters.spectra(s, d).where("ms_level = 2").select("id", "time", ((F.col("iso_min") + F.col("iso_max")) / 2).alias("mz"))
     key = F.col("r_regionkey").cast("double")
     points = table(s, d, "region").select((key * 750.0).alias("time"), (key * 2.5 - 3.0).alias("error"))
-    return precursor.calibrated(own, points, 750.0, least=5).withColumn("calibrated_mz", F.round("calibrated_mz", 6))
+    return precursor.calibrated(own, points, least=5).withColumn("calibrated_mz", F.round("calibrated_mz", 6))
 
 
 @query(

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peakloom.session import shared_folder
 from peakloom.streaming.resequence import held, resequenced
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder the cluster shares, by spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "peakloom-streams")).rstrip("/")
-
-
 def resequenced_events(spark: SparkSession, sf_dir: str, lateness: int = 100) -> DataFrame:
     """All spectra in their new order: those that left the buffer while the input was read, and those that it held at the
     end. A group here is an event type."""
-    path = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # a file source takes folders or patterns; the pattern names the one table
     raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,17 @@ def local_session(cores: str | int = 8, partitions: int = 8, memory: str = "8g")
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the whole cluster shares: the session's spark.checkpoint.dir. Where that is unset, a local master
+    gets one in the temp folder (in tests); on a cluster that would be a folder of one machine, so it raises."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return os.path.join(tempfile.gettempdir(), f"peakloom-{os.getuid()}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; only Spark touches the path, so any store that Spark reads will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions import cv
+from peakloom.operators.order import running_sums
 
 _CV = "cvParam array<struct<_accession:string,_name:string,_value:string,_unitAccession:string>>"
 _C = _CV.replace(" ", ":", 1)
@@ -64,9 +65,12 @@ def spectra(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_cycles(rows: DataFrame, file_col: str | None = None) -> DataFrame:
-    """Adds the cycle: how many level 1 spectra came so far in a file (one file's headers are a group)."""
-    group = Window.partitionBy(file_col) if file_col else Window.partitionBy(F.lit(0))
-    return rows.withColumn("cycle", F.sum(F.when(F.col("ms_level") == 1, 1).otherwise(0)).over(group.orderBy("index").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """Adds the cycle: how many level 1 spectra came so far in a file, whose headers are a group. Without a file column
+    the rows are one run, counted in bins."""
+    survey = F.when(F.col("ms_level") == 1, 1).otherwise(0)
+    if file_col is None:
+        return running_sums(rows, ["index"], {"cycle": survey})
+    return rows.withColumn("cycle", F.sum(survey).over(Window.partitionBy(file_col).orderBy("index").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 @dataclass

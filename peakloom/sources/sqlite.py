@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -16,8 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 _KINDS = {"INT": T.LongType(), "INTEGER": T.LongType(), "BIGINT": T.LongType(), "REAL": T.DoubleType(), "FLOAT": T.DoubleType(), "DOUBLE": T.DoubleType(), "BLOB": T.BinaryType()}
 
 
-def _open(path: str) -> sqlite3.Connection:
-    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+def _open(path: str) -> closing[sqlite3.Connection]:
+    return closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True))
 
 
 def _quoted(name: str) -> str:

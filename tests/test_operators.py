@@ -112,28 +112,72 @@ def test_range_joins(spark, points, intervals, width):
 
 
 @settings(max_examples=8, deadline=None)
-@given(_numbers, _numbers, st.sampled_from([0.7, 5.0, 100.0]))
-def test_nearest_join(spark, probes, keys, width):
+@given(_numbers, _numbers, st.sampled_from([1, 4, 1000]))
+def test_nearest_join(spark, probes, keys, rows_per_bin):
     keys = sorted(set(keys))
     p = spark.createDataFrame(list(enumerate(probes)), "pid long, t double")
     k = spark.createDataFrame([(10 + i, x) for i, x in enumerate(keys)], "id long, time double")
-    got = {r.pid: r.time for r in ranges.nearest(p, "t", k, "time", ["id"], width).collect()}
+    got = {r.pid: r.time for r in ranges.nearest(p, "t", k, "time", ["id"], rows_per_bin).collect()}
     assert got == {i: min(keys, key=lambda x: (abs(x - t), x)) for i, t in enumerate(probes)}
 
 
 def test_interpolation(spark):
     points = spark.createDataFrame([(0.0, 0.0), (10.0, 20.0)], "x double, y0 double")
     probes = spark.createDataFrame([(5.0,), (-1.0,), (11.0,), (10.0,)], "t double")
-    got = {r.t: r.y for r in ranges.interpolated(probes, "t", points, "x", "y0", 3.0).collect()}
+    got = {r.t: r.y for r in ranges.interpolated(probes, "t", points, "x", "y0", rows_per_bin=2).collect()}
     assert got == {5.0: 10.0, -1.0: 0.0, 11.0: 20.0, 10.0: 20.0}
 
 
+def test_nearest_among_many_equal_and_clustered_probes(spark):
+    """A third of the probes are one value and most others lie close together, beside one outlier."""
+    rows = spark.range(3_000).select(F.col("id").alias("pid"), F.when(F.col("id") % 3 == 0, 5.0).when(F.col("id") == 1, 1e12).otherwise(F.col("id") / 1e6).alias("t"))
+    keys = [-4.0, 0.0015, 0.5, 7.0]
+    got = {r.pid: (r.t, r.time) for r in ranges.nearest(rows, "t", spark.createDataFrame([(i, x) for i, x in enumerate(keys)], "id long, time double"), "time", ["id"], 50).collect()}
+    assert len(got) == 3_000 and all(time == min(keys, key=lambda x: (abs(x - t), x)) for t, time in got.values())
+    none = ranges.nearest(spark.createDataFrame([(None,), (2.0,)], "t double"), "t", spark.createDataFrame([(1, 1.0)], "id long, time double"), "time", ["id"])
+    assert sorted((str(r.t), r.time) for r in none.collect()) == [("2.0", 1.0), ("None", None)]
+
+
+def test_neighbours_take_linear_time(spark):
+    """All in one bin; with a frame for each row this took half a minute."""
+    import time
+
+    began = time.perf_counter()
+    probes, rows = spark.range(60_000).select((F.col("id") / 7).alias("t")), spark.range(20_000).select("id", (F.col("id") / 3).alias("time"))
+    assert ranges.nearest(probes, "t", rows, "time", ["id"]).where("abs(t - time) < 1").count() > 40_000 and time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("lead", ["id % 2", "case when id = 7 then 1e15 else id / 1e9 end", "case when id % 3 = 0 then 4 else id end"])
+def test_bins_of_hot_and_clustered_columns(spark, lead):
+    rows = spark.range(4_000).selectExpr("id", f"cast({lead} as double) as t")
+    got = [(r.t, r.id, r.number) for r in order.row_numbers(rows, ["t", "id"], rows_per_bin=100).collect()]
+    assert [n for *_, n in sorted(got)] == list(range(1, 4_001))
+    sizes = [r["count"] for r in order._binned(rows, ["t", "id"], 100).groupBy("__bin", "__sub").count().collect()]
+    assert max(sizes) <= 300 and len(sizes) >= 20
+
+
 @pytest.mark.parametrize(("times", "want"), [([0, 10, 15, 16, 31, 32], [0, 0, 0, 16, 16, 32])])
 def test_anchored_rows(spark, times, want):
     rows = spark.createDataFrame([(i, float(t), 1) for i, t in enumerate(times)], "id long, time double, ms_level int")
     assert [r.row_start for r in tiling.anchored_rows(rows, 15.0, ["ms_level"]).orderBy("id").collect()] == want
 
 
+def test_anchored_rows_in_small_batches(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice([None, "a", "b"]), r.randrange(3), float(r.randrange(2_000))) for i in range(3_000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {x.id: x.row_start for x in tiling.anchored_rows(spark.createDataFrame(rows, "id long, run string, ms_level int, time double"), 15.0, ["run", "ms_level"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, opened = {}, {}
+    for i, run, level, t in sorted(rows, key=lambda x: (x[3], x[0])):
+        if (run, level) not in opened or t - opened[run, level] > 15.0:
+            opened[run, level] = t
+        want[i] = opened[run, level]
+    assert got == want
+
+
 def test_resequenced(spark):
     rows = spark.createDataFrame([(9, 3.0, 2), (8, 1.0, 1), (7, 2.0, 2), (6, 4.0, 1)], "id long, time double, ms_level int")
     got = [(r.id, r.new_id, r.new_cycle) for r in tiling.resequenced(rows, ["time"]).orderBy("new_id").collect()]
@@ -194,8 +238,8 @@ def test_peak_clusters(spark):
 def test_calibration_needs_points(spark):
     own = spark.createDataFrame([(1, 5.0, 500.0)], "id long, time double, mz double")
     points = spark.createDataFrame([(float(t), 10.0) for t in range(10)], "time double, error double")
-    assert precursor.calibrated(own, points, 1.0).first().calibrated_mz == 500.0 - 500.0 * 10 / 1e6
-    assert precursor.calibrated(own, points.limit(9), 1.0).first().calibrated_mz == 500.0
+    assert precursor.calibrated(own, points).first().calibrated_mz == 500.0 - 500.0 * 10 / 1e6
+    assert precursor.calibrated(own, points.limit(9)).first().calibrated_mz == 500.0
 
 
 def test_calibration_checkpoints(spark):
