@@ -2,34 +2,49 @@
 
 A store holds spectra headers, encodings, run slices and tiles (blobs of the peaks of consecutive spectra in one run
 slice). Reading decodes tiles in tasks; writing builds tiles in tasks and inserts them on the driver one after the
-other, as one SQLite file takes one writer: meant for a run to hand over, while analyses stay on Parquet.
+other, as one SQLite file takes one writer: the blobs of one run pass through the driver, one at a time. It is meant
+for a run to hand over, while analyses stay on Parquet.
 """
 
 from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
+from dataclasses import dataclass
+from xml.sax.saxutils import quoteattr
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions import cv, xmlparams
 from peakloom.operators import tiling
+from peakloom.operators.order import running_sums
 from peakloom.operators.ranges import stab_join
-from peakloom.sources import sqlite
+from peakloom.operators.spectra import base_peak
+from peakloom.sources import sqlite, storeschema
 from peakloom.sources.codec import Encoding, decode, encode
 
-#: Tables of a store that this module writes; a subset of the format's schema, with its names.
-SCHEMA = """
-CREATE TABLE header (version TEXT, creation_timestamp TEXT, param_tree TEXT);
-CREATE TABLE data_encoding (id INTEGER PRIMARY KEY, mode TEXT, compression TEXT, byte_order TEXT, mz_precision INTEGER, intensity_precision INTEGER, param_tree TEXT);
-CREATE TABLE run_slice (id INTEGER PRIMARY KEY, ms_level INTEGER, number INTEGER, begin_mz REAL, end_mz REAL, run_id INTEGER);
-CREATE TABLE spectrum (id INTEGER PRIMARY KEY, time REAL, ms_level INTEGER, cycle INTEGER, main_precursor_mz REAL, data_points_count INTEGER, data_encoding_id INTEGER, bb_first_spectrum_id INTEGER);
-CREATE TABLE bounding_box (id INTEGER PRIMARY KEY, data BLOB, run_slice_id INTEGER, first_spectrum_id INTEGER, last_spectrum_id INTEGER);
-CREATE VIRTUAL TABLE bounding_box_rtree USING rtree(id, min_mz, max_mz, min_time, max_time);
-"""
+HEADER_TABLE = "header"
+
+
+@dataclass(frozen=True)
+class RunInfo:
+    """What a store says about its run. software: (name, version); processing: names of its steps, each by the software of
+    the same place, or the first one."""
+
+    name: str = "run"
+    start: str | None = None
+    acquisition_mode: str = "UNKNOWN"
+    sample: str = "sample"
+    instrument: str = "instrument"
+    software: tuple[tuple[str, str], ...] = (("peakloom", "1"),)
+    source_file: tuple[str, str] = ("", "")
+    processing: tuple[str, ...] = ("conversion",)
+    components: str = "<componentList/>"
+    lossless: bool = True
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +59,8 @@ def peaks(spark: SparkSession, path: str, min_mz: float = -1, max_mz: float = -1
         F.col("id").alias("__e"),
         F.struct(F.col("mz_precision").alias("mz"), F.col("intensity_precision").alias("intensity"), (F.col("mode") == "fitted").alias("fitted"), (F.coalesce("byte_order", F.lit("little_endian")) == "big_endian").alias("big")).alias("encoding"),
     )
-    known = headers(spark, path).select(F.col("id").cast("double").alias("__id"), "data_encoding_id").join(F.broadcast(dims), F.col("data_encoding_id") == F.col("__e"))
+    # a row an encoding: Spark broadcasts it by its size
+    known = headers(spark, path).select(F.col("id").cast("double").alias("__id"), "data_encoding_id").join(dims, F.col("data_encoding_id") == F.col("__e"))
     boxes = sqlite.table(spark, path, "bounding_box")
     spans = boxes.select(F.col("id").alias("__box"), F.col("first_spectrum_id").cast("double").alias("__a"), F.col("last_spectrum_id").cast("double").alias("__b"))
     per_box = stab_join(known, "__id", spans, "__a", "__b", 256.0).groupBy("__box").agg(F.collect_list(F.struct("__id", "encoding")).alias("encodings"))
@@ -61,42 +77,150 @@ def peaks(spark: SparkSession, path: str, min_mz: float = -1, max_mz: float = -1
     return rows.mapInPandas(run, "spectrum_id long, mz double, intensity double, lhwhm double, rhwhm double")
 
 
-def write(spectra: DataFrame, own_peaks: DataFrame, path: str, encoding: Encoding = Encoding(64, 64), sizes: tiling.TileSizes = tiling.TileSizes()) -> None:
-    """A new store of a run: spectra without peaks are skipped, tiles follow the grid of sizes, their bounds go to the
-    R*Tree. An existing file raises."""
-    tiles = tiling.tiled(own_peaks, spectra, sizes.mz_ms1, sizes.time_ms1)
-    slices = tiling.run_slices(tiles, sizes.mz_ms1)
-    grouped = tiles.join(slices, ["ms_level", "mz_bin"]).groupBy("number", "rt_row", "iso").agg(F.array_sort(F.collect_list(F.struct("spectrum_id", "mz", "intensity"))).alias("p"), F.min("begin_mz").alias("lo"), F.min("end_mz").alias("hi"), F.min("time").alias("t0"), F.max("time").alias("t1"))
+def tiles_of(spectra: DataFrame, own_peaks: DataFrame, sizes: tiling.TileSizes, dia: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(headers, run slices, tiles) of a run as a store has them. Spectra without peaks are left out. Level 1 is cut by its
+    own widths in m/z and time, other levels by theirs; with dia, each isolation window of level 2 has tiles of its
+    own. Time rows are anchored at their first spectrum. A tile has a slice of every spectrum of its row, empty ones too.
+    headers: own columns and row_first, the first spectrum of the row. tiles: slice, ms_level, iso_min, iso_max, lo, hi, t0,
+    t1, ids (all spectra of the row) and p (the peaks by spectrum)."""
+    first = F.col("ms_level") == 1
+    window = (F.col("ms_level") == 2) & F.lit(dia)
+    counts = own_peaks.groupBy("spectrum_id").agg(F.count("*").alias("n_peaks"))
+    kept = spectra.join(counts, F.col("id") == F.col("spectrum_id")).drop("spectrum_id").withColumns({"__lo": F.when(window, F.col("iso_min")), "__hi": F.when(window, F.col("iso_max"))})
+    group = ["ms_level", "__lo", "__hi"]
+    parts = [tiling.anchored_rows(kept.where(which), width, group) for which, width in ((first, sizes.time_ms1), (~first, sizes.time_msn))]
+    placed = parts[0].unionByName(parts[1])
+    same = lambda a, b: (a["ms_level"] == b["ms_level"]) & a["__lo"].eqNullSafe(b["__lo"]) & a["__hi"].eqNullSafe(b["__hi"]) & (a["row_start"] == b["row_start"])
+    rows = placed.groupBy(*group, "row_start").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    width = F.when(first, sizes.mz_ms1).otherwise(sizes.mz_msn)
+    peaks_in = own_peaks.join(placed.withColumnRenamed("id", "__id"), F.col("spectrum_id") == F.col("__id")).drop("__id").withColumn("mz_bin", F.floor(F.col("mz") / width).cast("long"))
+    bins = peaks_in.select("ms_level", "mz_bin").distinct()
+    slices = bins.select(F.row_number().over(Window.orderBy("ms_level", "mz_bin")).cast("long").alias("slice"), "ms_level", "mz_bin", (F.col("mz_bin") * width).cast("double").alias("lo"), ((F.col("mz_bin") + 1) * width).cast("double").alias("hi"))
+    wide = [F.col(c).cast("double").alias(c) if c in own_peaks.columns else F.lit(0.0).alias(c) for c in ("lhwhm", "rhwhm")]
+    tiles = peaks_in.join(slices, ["ms_level", "mz_bin"]).groupBy("slice", *group, "row_start").agg(
+        F.array_sort(F.collect_list(F.struct("spectrum_id", "mz", "intensity", *wide))).alias("p"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min("time").alias("t0"), F.max("time").alias("t1")
+    )
+    tiles = tiles.join(rows, same(tiles, rows)).select("slice", tiles["ms_level"], tiles["__lo"].alias("iso_min"), tiles["__hi"].alias("iso_max"), "lo", "hi", "t0", "t1", "ids", "p")
+    firsts = placed.join(rows, same(placed, rows)).select(F.col("id").alias("__id"), F.array_min("ids").alias("row_first"))
+    return kept.drop("__lo", "__hi").join(firsts, F.col("id") == F.col("__id")).drop("__id"), slices, tiles
+
+
+def _headers_of(heads: DataFrame, own_peaks: DataFrame) -> DataFrame:
+    """The 24 columns of the spectrum table; what the run's headers lack gets its plain value."""
+    has = lambda name, other, kind: (F.coalesce(F.col(name).cast(kind), other) if name in heads.columns else other).cast(kind)
+    base = base_peak(own_peaks).withColumnRenamed("spectrum_id", "__s")
+    null, one = F.lit(None), F.lit(1)
+    if "cycle" not in heads.columns:
+        heads = running_sums(heads, ["id"], {"cycle": F.when(F.col("ms_level") == 1, 1).otherwise(0)})
+    middle = F.when(F.col("ms_level") > 1, (F.col("iso_min") + F.col("iso_max")) / 2)
+    values = {
+        "id": F.col("id").cast("long"), "initial_id": has("initial_id", F.col("id"), "long"), "title": has("title", F.concat(F.lit("scan="), F.col("id").cast("string")), "string"), "cycle": F.col("cycle").cast("long"),
+        "time": F.col("time").cast("double"), "ms_level": F.col("ms_level").cast("int"), "activation_type": has("activation_type", null, "string"), "tic": F.col("tic").cast("double"),
+        "base_peak_mz": F.col("base_mz").cast("double"), "base_peak_intensity": F.col("base_intensity").cast("double"), "main_precursor_mz": has("precursor_mz", middle, "double"), "main_precursor_charge": has("precursor_charge", null, "int"),
+        "data_points_count": F.col("n_peaks"), "param_tree": has("param_tree", F.lit("<params/>"), "string"), "scan_list": has("scan_list", null, "string"), "precursor_list": has("precursor_list", null, "string"), "product_list": has("product_list", null, "string"),
+        "shared_param_tree_id": one, "instrument_configuration_id": one, "source_file_id": one, "run_id": one, "data_processing_id": one, "data_encoding_id": one, "bb_first_spectrum_id": F.col("row_first"),
+    }
+    joined = heads.join(base.withColumnRenamed("tic", "__tic"), F.col("id") == F.col("__s"))
+    joined = (joined.drop("tic") if "tic" in joined.columns else joined).withColumnRenamed("__tic", "tic")
+    return joined.select(*[v.alias(k) for k, v in values.items()])
+
+
+def _metadata(db: sqlite3.Connection, info: RunInfo, header_table: str, encoding: Encoding, sizes: tiling.TileSizes) -> None:
+    user = lambda name, value, kind: f'<userParam name="{name}" value={quoteattr(str(value))} type="{kind}"/>'
+    params = [user(name, getattr(sizes, field), "xsd:float") for field, name in storeschema.SIZE_PARAMS.items()] + [user(storeschema.LOSS_PARAM, str(info.lossless).lower(), "xsd:boolean")]
+    db.execute(f'INSERT INTO "{header_table}" VALUES (?, ?, ?, ?, ?)', ("0.7", info.start or "", "<fileContent/>", "", "<params><userParams>" + "".join(params) + "</userParams></params>"))
+    db.execute("INSERT INTO data_encoding VALUES (1, ?, 'none', ?, ?, ?, NULL)", ("fitted" if encoding.fitted else "centroid", "big_endian" if encoding.big_endian else "little_endian", encoding.mz_bits, encoding.intensity_bits))
+    db.executemany("INSERT INTO software VALUES (NULL, ?, ?, '<params/>', NULL)", info.software)
+    names = list(dict.fromkeys(info.processing))
+    db.executemany("INSERT INTO data_processing VALUES (NULL, ?)", [(n,) for n in names])
+    db.executemany("INSERT INTO processing_method VALUES (NULL, ?, '<params/>', NULL, ?, ?)", [(k, names.index(n) + 1, min(k, len(info.software))) for k, n in enumerate(info.processing, 1)])
+    db.execute("INSERT INTO shared_param_tree VALUES (1, '<params/>', 'CommonInstrumentParams')")
+    db.execute("INSERT INTO instrument_configuration VALUES (1, ?, NULL, ?, NULL, 1)", (info.instrument, info.components))
+    db.execute("INSERT INTO sample VALUES (1, ?, NULL, NULL)", (info.sample,))
+    db.execute("INSERT INTO source_file VALUES (1, ?, ?, '<params/>', NULL)", info.source_file)
+    mode = f'<params><cvParams><cvParam cvRef="MS" accession="{cv.ACQUISITION_PARAMETER}" name="acquisition parameter" value="{info.acquisition_mode} acquisition"/></cvParams></params>'
+    db.execute("INSERT INTO run VALUES (1, ?, ?, ?, NULL, 1, 1, 1, 1, 1)", (info.name, info.start, mode))
+
+
+def write(spectra: DataFrame, own_peaks: DataFrame, path: str, encoding: Encoding = Encoding(64, 64), sizes: tiling.TileSizes = tiling.TileSizes(), info: RunInfo = RunInfo(), header_table: str = HEADER_TABLE) -> None:
+    """A new store of a run: headers (id, time, ms_level, iso_min, iso_max, and any of title, cycle, activation_type,
+    precursor_mz, precursor_charge, param_tree, scan_list, precursor_list, product_list) and peaks (spectrum_id, mz, intensity,
+    and half widths for a fitted encoding). Tiles of level 1 are indexed by m/z and time, those of level 2 of a
+    SWATH run by their isolation window too, others not at all. An existing file raises."""
+    dia = info.acquisition_mode == "SWATH"
+    heads, slices, tiles = tiles_of(spectra, own_peaks, sizes, dia)
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for number, rows, lo, hi, t0, t1 in zip(f["number"], f["p"], f["lo"], f["hi"], f["t0"], f["t1"], strict=True):
-                own: dict[int, list] = {}
+            blobs = []
+            for ids, rows in zip(f["ids"], f["p"], strict=True):
+                own: dict[int, list] = {int(i): [] for i in ids}
                 for r in rows:
-                    own.setdefault(int(r["spectrum_id"]), []).append((r["mz"], r["intensity"]))
-                made = []
-                for spectrum, values in own.items():
-                    arr = np.zeros(len(values), encoding.peak)
-                    arr["mz"], arr["intensity"] = zip(*values, strict=True)
-                    made.append((spectrum, arr))
-                out.append((number, min(own), max(own), lo, hi, t0, t1, encode(made, encoding)))
-            yield pd.DataFrame(out, columns=["slice", "first", "last", "lo", "hi", "t0", "t1", "data"])
-
-    boxes = grouped.mapInPandas(pack, "slice long, first long, last long, lo double, hi double, t0 double, t1 double, data binary")
-    counts = own_peaks.groupBy("spectrum_id").agg(F.count("*").alias("n"))
-    kept = spectra.join(counts, F.col("id") == F.col("spectrum_id")).orderBy("id")
-    with sqlite3.connect(f"file:{path}?mode=rwc", uri=True) as db:
-        db.executescript(SCHEMA)
-        tree = "<params><userParams>" + "".join(f'<userParam name="{k}" value="{v}" type="xsd:float"/>' for k, v in (("ms1_bb_mz_width", sizes.mz_ms1), ("msn_bb_mz_width", sizes.mz_msn), ("ms1_bb_time_width", sizes.time_ms1), ("msn_bb_time_width", sizes.time_msn))) + "</userParams></params>"
-        db.execute("INSERT INTO header VALUES ('0.7', NULL, ?)", (tree,))
-        db.execute("INSERT INTO data_encoding VALUES (1, ?, 'none', ?, ?, ?, NULL)", ("fitted" if encoding.fitted else "centroid", "big_endian" if encoding.big_endian else "little_endian", encoding.mz_bits, encoding.intensity_bits))
-        db.executemany("INSERT INTO run_slice VALUES (?, ?, ?, ?, ?, 1)", ((r.number, r.ms_level, r.number, r.begin_mz, r.end_mz) for r in slices.toLocalIterator()))
-        db.executemany("INSERT INTO spectrum VALUES (?, ?, ?, NULL, ?, ?, 1, NULL)", ((r.id, r.time, r.ms_level, (r.iso_min + r.iso_max) / 2 if r.ms_level > 1 else None, r.n) for r in kept.select("id", "time", "ms_level", "iso_min", "iso_max", "n").toLocalIterator()))
-        for k, b in enumerate(boxes.toLocalIterator(), 1):
+                    own[int(r["spectrum_id"])].append(tuple(r[k] for k in encoding.peak.names))
+                blobs.append(encode([(i, np.array(v, encoding.peak)) for i, v in own.items()], encoding))
+            out = f.drop(columns=["ids", "p"])
+            yield out.assign(first=[int(min(i)) for i in f["ids"]], last=[int(max(i)) for i in f["ids"]], data=blobs)
+
+    boxes = tiles.mapInPandas(pack, "slice long, ms_level int, iso_min double, iso_max double, lo double, hi double, t0 double, t1 double, first long, last long, data binary")
+    with closing(sqlite3.connect(f"file:{path}?mode=rwc", uri=True)) as db, db:
+        db.executescript(storeschema.ddl(header_table))
+        _metadata(db, info, header_table, encoding, sizes)
+        db.executemany("INSERT INTO run_slice VALUES (?, ?, ?, ?, ?, NULL, 1)", ((r.slice, r.ms_level, r.slice, r.lo, r.hi) for r in slices.toLocalIterator()))
+        db.executemany(f"INSERT INTO spectrum VALUES ({', '.join('?' * 24)})", (tuple(r) for r in _headers_of(heads, own_peaks).orderBy("id").toLocalIterator()))
+        for k, b in enumerate(boxes.orderBy("t0", "ms_level", "iso_min", "slice").toLocalIterator(), 1):
             db.execute("INSERT INTO bounding_box VALUES (?, ?, ?, ?, ?)", (k, bytes(b.data), b.slice, b.first, b.last))
-            db.execute("INSERT INTO bounding_box_rtree VALUES (?, ?, ?, ?, ?)", (k, b.lo, b.hi, b.t0, b.t1))
-    db.close()
+            if b.ms_level == 1:
+                db.execute("INSERT INTO bounding_box_rtree VALUES (?, ?, ?, ?, ?)", (k, b.lo, b.hi, b.t0, b.t1))
+            elif b.iso_min is not None:
+                db.execute("INSERT INTO bounding_box_msn_rtree VALUES (?, ?, ?, ?, ?, ?, ?, ?, ?)", (k, b.ms_level, b.ms_level, b.iso_min, b.iso_max, b.lo, b.hi, b.t0, b.t1))
+        db.executescript(storeschema.index_ddl())
+
+
+def tile(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The row of one tile, none if there isn't such a tile."""
+    return sqlite.table(spark, path, "bounding_box").where(F.col("id") == number)
+
+
+def tile_first_spectrum(spark: SparkSession, path: str, spectrum: int) -> DataFrame:
+    """The first spectrum of the tiles that hold a spectrum (bb_first_spectrum_id), none without that spectrum."""
+    return headers(spark, path).where(F.col("id") == spectrum).select("bb_first_spectrum_id")
+
+
+XML_COLUMNS = ("param_tree", "scan_list", "precursor_list", "product_list")
+
+
+def spectrum_xml(spark: SparkSession, path: str) -> DataFrame:
+    """id and the XML columns of all spectra, as text."""
+    return headers(spark, path).select("id", *XML_COLUMNS)
+
+
+def spectrum_params(spark: SparkSession, path: str) -> DataFrame:
+    """id and the parsed XML columns: params, scan and precursor. Only columns that are used are read and parsed."""
+    rows = spectrum_xml(spark, path)
+    return rows.select("id", xmlparams.param_tree(F.col("param_tree")).alias("params"), xmlparams.scans(F.col("scan_list")).alias("scan"), xmlparams.precursors(F.col("precursor_list")).alias("precursor"))
+
+
+def run_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """The run with what it refers to: run, start, mode, sample, instrument, components, source_file, location, software (all
+    of it, as names and versions) and processing (the steps' names in order)."""
+    t = lambda name: sqlite.table(spark, path, name)
+    run = t("run").select(F.col("name").alias("run"), F.col("start_timestamp").alias("start"), acquisition_mode(xmlparams.param_tree(F.col("param_tree"))).alias("mode"), "sample_id", "default_instrument_config_id", "default_source_file_id")
+    sample = t("sample").select(F.col("id").alias("__a"), F.col("name").alias("sample"))
+    instrument = t("instrument_configuration").select(F.col("id").alias("__b"), F.col("name").alias("instrument"), xmlparams.components(F.col("component_list")).alias("components"))
+    source = t("source_file").select(F.col("id").alias("__c"), F.col("name").alias("source_file"), "location")
+    steps = t("processing_method").join(t("data_processing").select(F.col("id").alias("__d"), "name"), F.col("data_processing_id") == F.col("__d"))
+    lists = [t("software").agg(F.sort_array(F.collect_list(F.struct("id", "name", "version"))).alias("software")), steps.agg(F.sort_array(F.collect_list(F.struct("number", "name"))).alias("processing"))]
+    out = run.join(sample, F.col("sample_id") == F.col("__a"), "left").join(instrument, F.col("default_instrument_config_id") == F.col("__b"), "left").join(source, F.col("default_source_file_id") == F.col("__c"), "left")
+    out = out.withColumn("__k", F.lit(1))
+    for one in lists:
+        out = out.join(one.withColumn("__k", F.lit(1)), "__k", "left")  # one row each
+    return out.select("run", "start", "mode", "sample", "instrument", "components", "source_file", "location", "software", "processing")
+
+
+def software_version(spark: SparkSession, path: str, ending: str) -> str | None:
+    """The version of the first software whose name ends so, in any case: a converter is found by its name."""
+    row = sqlite.table(spark, path, "software").where(F.lower(F.col("name")).endswith(ending.lower())).orderBy("id").select("version").first()
+    return row[0] if row else None
 
 
 def header_table(path: str) -> str:
@@ -118,8 +242,13 @@ def model_version(spark: SparkSession, path: str) -> str | None:
 
 def tile_sizes(tree: Column) -> Column:
     """A header's tile sizes (struct of mz_ms1, mz_msn, time_ms1, time_msn), each by its own name, null where it lacks."""
-    names = {"mz_ms1": "ms1_bb_mz_width", "mz_msn": "msn_bb_mz_width", "time_ms1": "ms1_bb_time_width", "time_msn": "msn_bb_time_width"}
-    return F.struct(*[xmlparams.user_param(tree, v).try_cast("double").alias(k) for k, v in names.items()])
+    return F.struct(*[xmlparams.user_param(tree, v).try_cast("double").alias(k) for k, v in storeschema.SIZE_PARAMS.items()])
+
+
+def lossless(tree: Column) -> Column:
+    """Whether a header says that no peak was left out or fitted: unless one of its params for that is "false"."""
+    value = F.coalesce(*[xmlparams.user_param(tree, name) for name in (storeschema.LOSS_PARAM, "is_no_loss")])
+    return F.coalesce(value != "false", F.lit(True))
 
 
 def acquisition_mode(tree: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from peakloom.functions.dates import offset_time
 from peakloom.operators import ingest
 from peakloom.sources import sqlite
+from peakloom.sources.store import RunInfo
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,17 @@ def spectra(spark: SparkSession, path: str, raw: DataFrame, config: ReaderConfig
     return out.where(F.size("mz") >= max(1, config.min_data_points))
 
 
+def run_info(spark: SparkSession, path: str, name: str = "run", converter: tuple[str, str] = ("peakloom", "1")) -> RunInfo:
+    """What a store of the run says about it (sources.store.write): the vendor's software and the converter, the sample, the
+    instrument, the start; plain values for what the file lacks. The mode is SWATH where frames of that kind exist."""
+    row = run_metadata(spark, path).first()
+    modes = {r[0] for r in frames(spark, path).select("msms_type").distinct().collect()}
+    software = ((row["software"] or "acquisition", row["software_version"] or ""), converter)
+    start = row["start"].strftime("%Y-%m-%dT%H:%M:%SZ") if row["start"] else None
+    mode = "SWATH" if "DIA" in modes else "DDA" if "PASEF" in modes else "UNKNOWN"
+    return RunInfo(name, start, mode, row["sample"] or "sample", row["instrument"] or "instrument", software, (path.rpartition("/")[2], path.rpartition("/")[0]), ("acquisition", "conversion"))
+
+
 def run_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row on the run from the key and value table: instrument, software, sample, start (null if it can't be read)."""
     kv = sqlite.key_values(sqlite.table(spark, path, "GlobalMetadata"))

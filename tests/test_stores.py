@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import cv, dates, xmlparams
 from peakloom.operators import precursor, tiling, xic
 from peakloom.plans import adapters, sql
-from peakloom.sources import sqlite, store, tdf
+from peakloom.sources import sqlite, store, storeschema, tdf
 from peakloom.sources.codec import Encoding
 
 
@@ -29,11 +29,62 @@ def test_store_round_trip(spark, sf, tmp_path, encoding):
     tree = store.header(spark, path).select(store.tile_sizes(xmlparams.param_tree(F.col("param_tree"))).alias("s")).first().s
     assert tuple(tree) == (5.0, 10_000.0, 15.0, 0.0)
     with sqlite3.connect(path) as db:
-        assert db.execute("SELECT count(*) FROM bounding_box b JOIN bounding_box_rtree r ON b.id = r.id").fetchone()[0] == db.execute("SELECT count(*) FROM bounding_box").fetchone()[0] > 0
+        levels = "SELECT count(*) FROM bounding_box b JOIN run_slice s ON b.run_slice_id = s.id WHERE s.ms_level = "
+        assert db.execute("SELECT count(*) FROM bounding_box_rtree").fetchone() == db.execute(levels + "1").fetchone() > (0,)
+        assert db.execute("SELECT count(*) FROM bounding_box_rtree r JOIN bounding_box b ON b.id = r.id JOIN run_slice s ON b.run_slice_id = s.id WHERE s.ms_level <> 1").fetchone() == (0,)
+        assert db.execute("SELECT count(*) FROM bounding_box_msn_rtree").fetchone() == (0,) < db.execute(levels + "2").fetchone()
     with pytest.raises(sqlite3.OperationalError):
         store.write(spectra, peaks, path, encoding)
 
 
+def test_dia_store(spark, sf, tmp_path):
+    """Sizes by level, windows, half widths, cycles, first spectra, metadata and XML columns, all read back."""
+    spectra = adapters.with_cycle(adapters.spectra(spark, sf)).where("id < 400")
+    scan = f'<scanList><scan><cvParam accession="{cv.SCAN_START_TIME}" value="2.5" unitAccession="{cv.MINUTES}"/></scan></scanList>'
+    spectra = spectra.withColumns({"scan_list": F.lit(scan), "param_tree": F.lit(f'<params><cvParams><cvParam accession="{cv.MS_LEVEL}" value="2"/></cvParams></params>'), "title": F.concat(F.lit("t"), F.col("id"))})
+    peaks = adapters.peaks(spark, sf).where("spectrum_id < 400")
+    path, info = str(tmp_path / "dia.sqlite"), store.RunInfo("r<1>", "2020-01-02T03:04:05Z", "SWATH", "s & co", "i", (("aa", "1.0"), ("Own2MzTest", "0.9")), ("f.raw", "/x"), ("a", "b", "a"))
+    store.write(spectra, peaks, path, Encoding(64, 64, fitted=True), info=info, header_table="anyname")
+    near = lambda df: sorted((r.spectrum_id, r.mz, round(r.lhwhm, 5), round(r.rhwhm, 5)) for r in df.collect())
+    assert near(store.peaks(spark, path)) == near(peaks)
+    kept = peaks.select("spectrum_id").distinct().count()
+    with sqlite3.connect(path) as db:
+        one = lambda q: db.execute(q).fetchone()
+        assert one("SELECT count(*), max(end_mz - begin_mz) FROM run_slice WHERE ms_level = 1")[1] == 5.0
+        assert one("SELECT min(begin_mz), max(end_mz), count(*) FROM run_slice WHERE ms_level = 2") == (0.0, 10_000.0, 1)
+        n1, n2 = (one(f"SELECT count(*) FROM bounding_box b JOIN run_slice s ON b.run_slice_id = s.id WHERE s.ms_level = {k}")[0] for k in (1, 2))
+        assert one("SELECT count(*) FROM bounding_box_rtree") == (n1,) and one("SELECT count(*), min(min_ms_level), max(max_ms_level) FROM bounding_box_msn_rtree") == (n2, 2.0, 2.0)
+        assert one("SELECT max(max_time - min_time) FROM bounding_box_rtree")[0] <= 15.0
+        assert one("SELECT count(*) FROM spectrum s JOIN bounding_box b ON s.bb_first_spectrum_id = b.first_spectrum_id WHERE s.id BETWEEN b.first_spectrum_id AND b.last_spectrum_id")[0] >= kept
+        assert one("SELECT count(*) FROM spectrum WHERE bb_first_spectrum_id IS NULL OR cycle IS NULL") == (0,)
+        assert len(db.execute("SELECT name FROM sqlite_master WHERE type = 'index' AND name LIKE '%_idx'").fetchall()) == len(storeschema.INDEXES)
+    heads = store.headers(spark, path)
+    want = spectra.join(peaks.select(F.col("spectrum_id").alias("id")).distinct(), "id")
+    assert {(r.id, r.cycle, r.time, r.ms_level, r.title) for r in heads.collect()} == {(r.id, r.cycle, r.time, r.ms_level, r.title) for r in want.collect()}
+    tic = {r.spectrum_id: r.t for r in peaks.groupBy("spectrum_id").agg(F.sum("intensity").alias("t")).collect()}
+    assert {r.id: r.tic for r in heads.collect()} == tic
+    params = store.spectrum_params(spark, path).first()
+    assert params.scan.time == 150.0 and params.params.cv[0]["_value"] == "2" and params.precursor is None
+    assert store.spectrum_xml(spark, path).columns == ["id", *store.XML_COLUMNS]
+    run = store.run_metadata(spark, path).first()
+    assert (run.run, run.start, run["mode"], run["sample"], run.instrument, run.source_file, run.location) == ("r<1>", info.start, "SWATH", "s & co", "i", "f.raw", "/x")
+    assert [x["version"] for x in run.software] == ["1.0", "0.9"] and [x["name"] for x in run.processing] == ["a", "b", "a"]
+    assert store.software_version(spark, path, "mztest") == "0.9" and store.software_version(spark, path, "none") is None
+    assert store.model_version(spark, path) == "0.7" and store.header(spark, path).select(store.lossless(xmlparams.param_tree(F.col("param_tree")))).first()[0] is True
+    assert store.tile(spark, path, 1).count() == 1 and store.tile(spark, path, 10**6).count() == 0
+    assert store.tile_first_spectrum(spark, path, 5).first()[0] <= 5
+    # the results of a store are those of the tables it was written from
+    a = xic.xic(store.peaks(spark, path), want, 500.0, 100.0)
+    b = xic.xic(peaks, spectra, 500.0, 100.0)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_lossless_flag(spark):
+    xml = lambda name, v: f'<params><userParams><userParam name="{name}" value="{v}"/></userParams></params>'
+    rows = spark.createDataFrame([(xml("is_lossless", "false"),), (xml("is_no_loss", "false"),), (xml("is_lossless", "true"),), (xml("x", "y"),)], "x string")
+    assert [r[0] for r in rows.select(store.lossless(xmlparams.param_tree(F.col("x")))).collect()] == [False, False, True, True]
+
+
 def test_mixed_encodings(spark, tmp_path):
     path = str(tmp_path / "x.sqlite")
     from peakloom.sources.codec import encode
@@ -44,8 +95,9 @@ def test_mixed_encodings(spark, tmp_path):
     one, two = np.zeros(1, a.peak), np.zeros(2, b.peak)
     one["mz"], two["mz"], two["lhwhm"] = 1.5, [2.5, 3.5], 0.25
     with sqlite3.connect(path) as db:
-        db.executescript(store.SCHEMA)
+        db.executescript(storeschema.ddl("header"))
         db.executemany("INSERT INTO data_encoding VALUES (?, ?, 'none', 'little_endian', ?, ?, NULL)", [(1, "centroid", 64, 32), (2, "fitted", 32, 32)])
+        db.executescript("DROP TABLE spectrum; CREATE TABLE spectrum (id INTEGER PRIMARY KEY, data_encoding_id INTEGER)")
         db.executemany("INSERT INTO spectrum (id, data_encoding_id) VALUES (?, ?)", [(1, 1), (2, 2), (3, 1)])
         db.execute("INSERT INTO bounding_box VALUES (1, ?, 1, 1, 3)", (encode([(1, one), (2, two), (3, one[:0])], {1: a, 2: b, 3: a}),))
     assert sorted((r.spectrum_id, r.mz, r.lhwhm) for r in store.peaks(spark, path).collect()) == [(1, 1.5, 0.0), (2, 2.5, 0.25), (2, 3.5, 0.25)]
@@ -75,6 +127,8 @@ def test_tdf(spark, tmp_path):
     assert tdf.spectra(spark, path, raw, tdf.ReaderConfig(ms1_only=True)).count() == 1
     meta = tdf.run_metadata(spark, path).first()
     assert meta.instrument == "i" and meta.start is not None and meta["sample"] is None
+    info = tdf.run_info(spark, path, "r")
+    assert (info.name, info.start, info.acquisition_mode, info.sample, info.instrument, len(info.software)) == ("r", "2020-01-02T02:04:05Z", "SWATH", "sample", "i", 2)
 
 
 def test_dates(spark):
