@@ -3,11 +3,14 @@
 A byte-pair encoding is right exactly if each token is the encoding of its own bytes and each two neighbours are the
 encoding of their joined bytes. So the last token of a prefix is the one token that ends there and fits the last
 token of the shorter prefix it leaves: one pass over a piece of text stores, for each of its prefixes, the last token
-and the exact count. Truncation and budget questions then read the table instead of encoding again.
+and the exact count.
 
-A text is cut by the tokenizer's own pattern into pieces that are encoded apart; PrefixTable stores the counts at the
-ends of the pieces, and the tables of the pieces (kept once for equal pieces) hold the counts in between. Texts with
-characters about which regular expression libraries might disagree go to the tokenizer library whole.
+A text is cut by the tokenizer's own pattern into pieces that are encoded apart. Counts of a piece's prefixes, by
+character, are worked out once for equal pieces; strung together they are the counts of all prefixes of the text, which
+are put right where a prefix is cut into other pieces than the text: in runs of white space, of which the pattern leaves
+the last blank to a following word, and in special strings. A budget question is a search over those counts and a
+truncation a lookup; neither encodes anything. Characters about which regular expression libraries disagree only change
+who finds the pieces: the tokenizer library's own splitter.
 
 Cases: null counts as the empty text: 0 bytes, 0 tokens. A special string inside a text is one special token, as the
 library's default has it. Very long texts and pieces take time in proportion to their length. A null id stays null,
@@ -17,9 +20,10 @@ repeated rows give repeated results, other columns are not read.
 from __future__ import annotations
 
 import json
-from bisect import bisect_left, bisect_right
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,10 +31,14 @@ from pyspark.sql import functions as F
 
 from peakloom.llm.common import in_slices, map_arrow, text_of
 
-#: Outside these ranges, or at the listed control characters, a text is left to the library.
+#: With characters outside these ranges, or the listed control characters, a text is cut by the library's splitter.
 _ODD = regex.compile(r"[\x1c-\x1f\x85ɐ-῿⁰-\U0010ffff]")
-#: Equal pieces are looked up; a process forgets them beyond so many.
-_MOST_PIECES = 1_000_000
+#: Runs of white space that a prefix can cut, as the library sees white space.
+_RUN = regex.compile(r"\p{White_Space}{2,}+")
+#: Equal pieces and pairs of tokens are looked up; a process forgets them beyond so many.
+_MOST_PIECES, _MOST_PAIRS = 300_000, 1_000_000
+#: Pieces beyond so many bytes aren't kept.
+_KEPT = 256
 
 
 def default_tokenizer() -> str:
@@ -47,18 +55,35 @@ def byte_letters() -> list[str]:
     return [chr(other.get(b, b)) for b in range(256)]
 
 
-class _Counts(dict):
-    """Token counts of pieces, worked out when first asked for."""
+class _Steps(dict):
+    """By piece the steps of its prefix counts, one a character, as bytes; worked out when first asked for."""
 
     def __init__(self, owner: PrefixCounter):
         super().__init__()
         self.owner = owner
 
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= _MOST_PIECES:
-            self.clear()
-        n = self[piece] = self.owner.table(piece.encode())[0][-1]
-        return n
+    def __missing__(self, piece: str) -> bytes:
+        steps = np.diff(self.owner.piece_counts(piece)).astype(_STEP).tobytes()
+        if len(piece) <= _KEPT:
+            if len(self) >= _MOST_PIECES:
+                self.clear()
+            self[piece] = steps
+        return steps
+
+
+_STEP = np.dtype(np.int32)
+_ZERO, _ONE = (np.array([n], _STEP).tobytes() for n in (0, 1))
+
+
+def _last_word(pieces: list[str]) -> str:
+    """The end of a text by its pieces: from the white space before its last word on."""
+    k = len(pieces)
+    while k and pieces[k - 1].isspace():
+        k -= 1
+    k = max(0, k - 1)
+    while k and pieces[k - 1].isspace():
+        k -= 1
+    return "".join(pieces[k:])
 
 
 class PrefixCounter:
@@ -83,7 +108,8 @@ class PrefixCounter:
         self.special_strings = tuple(special)
         self.pattern = regex.compile(pattern or public_tokenizers.PATTERN)
         self._fits: dict[tuple[int, int], bool] = {}
-        self._count = _Counts(self)
+        self._steps = _Steps(self)
+        self._cuts: dict[tuple[str, str], np.ndarray] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The encoding by its definition: join the pair of lowest rank, leftmost first, until none is left."""
@@ -100,6 +126,8 @@ class PrefixCounter:
         key = (left, right)
         known = self._fits.get(key)
         if known is None:
+            if len(self._fits) >= _MOST_PAIRS:
+                self._fits.clear()
             a, b = self.bytes_of.get(left, b""), self.bytes_of[right]
             known = self._fits[key] = self.merged(a + b) == ([a, b] if a else [b])
         return known
@@ -122,8 +150,18 @@ class PrefixCounter:
                 raise ValueError("the vocabulary lacks a byte")
         return count, last
 
-    def piece_count(self, piece: str) -> int:
-        return self._count[piece]
+    def piece_counts(self, piece: str) -> np.ndarray:
+        """Token counts of a piece's prefixes, by characters from 0. A contraction is the one kind of piece of which a
+        part is cut further."""
+        data = piece.encode()
+        count = np.array(self.table(data)[0], np.int64)
+        if len(data) > len(piece):
+            start = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+            count = count[np.append(np.flatnonzero(start), len(data))]
+        if piece[0] == "'" and len(piece) > 1 and piece[1:].isalpha():
+            for n in range(1, len(piece)):
+                count[n] = sum(self.table(x.encode())[0][-1] for x in self.pattern.findall(piece[:n]))
+        return count
 
     def piece_tokens(self, piece: str) -> list[int]:
         """The token ids of a piece, from its table's last tokens."""
@@ -141,62 +179,80 @@ class PrefixCounter:
             return [(text, False)]
         return [(x, k % 2 == 1) for k, x in enumerate(self.special.split(text)) if x]
 
-    def count(self, text: str) -> int:
-        if _ODD.search(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        total, known = 0, self._count.__getitem__
+    def pieces(self, part: str) -> list[str]:
+        """The pieces of a text without special strings."""
+        if _ODD.search(part):
+            return [part[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part)]
+        return self.pattern.findall(part)
+
+    def prefix_counts(self, text: str) -> np.ndarray:
+        """The token counts of text[:n] for n from 0 to the text's length."""
+        steps, specials, at, own = [_ZERO], [], 0, []
         for part, special in self.segments(text):
-            total += 1 if special else sum(map(known, self.pattern.findall(part)))
-        return total
+            if special:
+                specials.append((at, part, _last_word(own)))
+                steps.append(_ZERO * (len(part) - 1) + _ONE)
+                own = []
+            else:
+                own = self.pieces(part)
+                steps += map(self._steps.__getitem__, own)
+            at += len(part)
+        counts = np.cumsum(np.frombuffer(b"".join(steps), _STEP), dtype=np.int64)
+        for m in _RUN.finditer(text):
+            # a prefix that ends in a run has what it has of the run as one piece
+            a, b = m.span()
+            counts[a + 1 : b + 1] = counts[a] + np.cumsum(np.frombuffer(self._steps[m[0]], _STEP))
+        for at, part, context in specials:
+            # a prefix that ends in a special string has its first characters after the word before it
+            counts[at + 1 : at + len(part)] = counts[at - len(context)] + self._cut_special(context, part)
+        return counts
+
+    def _cut_special(self, context: str, special: str) -> np.ndarray:
+        """Token counts of the context and the first characters of a special string, one of them to all but one."""
+        known = self._cuts.get((context, special))
+        if known is None:
+            known = np.array([sum(np.frombuffer(self._steps[x], _STEP).sum() for x in self.pieces(context + special[:n])) for n in range(1, len(special))], np.int64)
+            if len(context) <= _KEPT:
+                if len(self._cuts) >= _MOST_PIECES:
+                    self._cuts.clear()
+                self._cuts[context, special] = known
+        return known
+
+    def count(self, text: str) -> int:
+        return int(self.prefix_counts(text)[-1])
 
     def prefixes(self, text: str) -> PrefixTable:
-        return PrefixTable(self, text)
+        return PrefixTable(self.prefix_counts(text))
 
 
 class PrefixTable:
-    """Exact token counts of every prefix of one text (in characters)."""
-
-    def __init__(self, counter: PrefixCounter, text: str):
-        self.counter, self.text = counter, text
-        self.ends, self.counts, self.solid = [0], [0], [True]
-        self.plain = not _ODD.search(text)
-        at = 0
-        for part, special in counter.segments(text) if self.plain else ():
-            for piece in [part] if special else counter.pattern.findall(part):
-                at += len(piece)
-                self.ends.append(at)
-                self.counts.append(self.counts[-1] + (1 if special else counter.piece_count(piece)))
-                self.solid.append(special or not piece.isspace())
+    """Exact token counts of every prefix of one text, by characters; questions are answered from them alone."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+
+    @classmethod
+    def from_steps(cls, steps: bytes) -> PrefixTable:
+        """The table that steps() has written."""
+        return cls(np.append(0, np.cumsum(np.frombuffer(zlib.decompress(steps), _STEP), dtype=np.int64)))
+
+    def steps(self) -> bytes:
+        """The table as the steps from one prefix to the next, compressed, to be kept beside the text."""
+        return zlib.compress(np.diff(self.counts).astype(_STEP).tobytes(), 1)
 
     def at(self, n_chars: int) -> int:
-        """Tokens of text[:n_chars]. Pieces that end before the cut stay as they are, but for white space just before it,
-        of which the pattern leaves the last blank to a following word; what is after the last such end is counted anew,
-        and that is one piece or two."""
-        n_chars = max(0, min(n_chars, len(self.text)))
-        if not self.plain:
-            return self.counter.count(self.text[:n_chars])
-        k = bisect_right(self.ends, n_chars) - 1
-        if self.ends[k] == n_chars and (k == 0 or self.solid[k]):
-            return self.counts[k]
-        k = k - 1 if self.ends[k] == n_chars else k
-        while k and not self.solid[k]:
-            k -= 1
-        return self.counts[k] + self.counter.count(self.text[self.ends[k] : n_chars])
+        """Tokens of text[:n_chars]."""
+        return int(self.counts[max(0, min(n_chars, len(self.counts) - 1))])
 
     def longest_within(self, budget: int) -> int:
-        """The most characters from the start of which the text takes at most budget tokens: a search over the stored
-        counts, then inside one piece. Counts may fall by a token from one character to the next, so the piece is
-        walked from its end."""
-        if not self.plain:
-            return next(n for n in range(len(self.text), -1, -1) if self.at(n) <= budget)
-        k = bisect_right(self.counts, budget)
-        top = self.ends[min(k + 1, len(self.ends) - 1)]
-        return next(n for n in range(top, -1, -1) if self.at(n) <= budget)
+        """The most characters from the start of which the text takes at most budget tokens. Counts may fall from one
+        character to the next, so it is the last place, not the first."""
+        return int(np.flatnonzero(self.counts <= budget)[-1]) if budget >= 0 else 0
 
     def chars_at(self, tokens: int) -> int:
-        """The first stored end at which at least so many tokens are used."""
-        k = bisect_left(self.counts, tokens)
-        return self.ends[min(k, len(self.ends) - 1)]
+        """The first place at which at least so many tokens are used, the text's length if there is none."""
+        found = np.flatnonzero(self.counts >= tokens)
+        return int(found[0]) if len(found) else len(self.counts) - 1
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -209,38 +265,42 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
-    path = tokenizer or default_tokenizer()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
+def prefix_tables(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_bytes (UTF-8), n_tokens and steps, the table of all its prefixes (PrefixTable)."""
+    return _mapped(docs, tokenizer, id_col, text_col, "n_bytes long, n_tokens long, steps binary", lambda text, table: (len(text.encode()), table.at(len(text)), table.steps()))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path)
-        for batch in in_slices(batches):
-            texts = batch.column(1)
-            sizes = pa.compute.binary_length(texts).cast(pa.int64())
-            tokens = pa.array([own.count(t) for t in texts.to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens], ["doc_id", "n_bytes", "n_tokens"])
 
-    return map_arrow(rows, count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) and fit_chars, the most
+    characters from its start that take at most limit tokens."""
+    out = _mapped(docs, tokenizer, id_col, text_col, "n_bytes long, n_tokens long, fit_chars long", lambda text, table: (len(text.encode()), table.at(len(text)), table.longest_within(limit)))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")
 
 
 def truncated(docs: DataFrame, budget: int, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, text cut to the most characters within budget tokens, n_tokens of the cut text."""
+
+    def trim(text: str, table: PrefixTable) -> tuple:
+        n = table.longest_within(budget)
+        return text[:n], table.at(n)
+
+    return _mapped(docs, tokenizer, id_col, text_col, "text string, n_tokens long", trim)
+
+
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _mapped(docs: DataFrame, tokenizer: str | None, id_col: str, text_col: str, columns: str, answer) -> DataFrame:
+    """doc_id and the columns that answer(text, its table) gives for each document."""
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, n_tokens long"
+    names, kinds = zip(*[x.split() for x in columns.split(", ")], strict=True)
 
-    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in in_slices(batches):
-            cuts, counts = [], []
-            for text in batch.column(1).to_pylist():
-                table = own.prefixes(text)
-                n = table.longest_within(budget)
-                cuts.append(text[:n])
-                counts.append(table.at(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "text", "n_tokens"])
-
-    return map_arrow(rows, trim, schema)
+            made = [answer(t, own.prefixes(t)) for t in batch.column(1).to_pylist()]
+            values = zip(*made, strict=True) if made else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(v), _KINDS[k]) for v, k in zip(values, kinds, strict=True)]], ["doc_id", *names])
+
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {columns}")

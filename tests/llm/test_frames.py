@@ -118,7 +118,13 @@ def test_pii(docs, empty):
 def test_tokens(docs, empty):
     library = tokens.counter(tokens.default_tokenizer()).library
     n = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
-    _same(tokens.token_counts(docs).collect(), [(r[0], len((r[1] or "").encode()), n(r[1]), n(r[1]) > 1024) for r in _rows()])
+    got = tokens.token_counts(docs).collect()
+    _same([tuple(r)[:4] for r in got], [(r[0], len((r[1] or "").encode()), n(r[1]), n(r[1]) > 1024) for r in _rows()])
+    of = {r.doc_id: r.fit_chars for r in got if r.doc_id is not None}
+    for i, text in ((r[0], r[1] or "") for r in _rows() if r[0] is not None):
+        assert n(text[: of[i]]) <= 1024 and (of[i] == len(text) or n(text[: of[i] + 1]) > 1024)
+    stored = tokens.prefix_tables(docs).where("doc_id = 9").first()
+    assert tokens.PrefixTable.from_steps(stored.steps).at(1000) == n(_rows()[9][1][:1000])
     assert tokens.token_counts(empty).count() == 0
     assert all(r.n_tokens <= 5 for r in tokens.truncated(docs.limit(4), 5).collect())
 

@@ -160,6 +160,57 @@ def test_counts_of_every_prefix(counter, text):
             assert table.longest_within(budget) == max(n for n in range(len(text) + 1) if encode(text[:n]) <= budget)
 
 
+PARTS = ["a", "the", " Th", " ", "  ", "\n", "\t", "'", "'s", "'ll", "1", "!", "!!", "é", "ñ", "П", "Привет", "日", "本語", "🙂", "\u3000", "\x1c", "\x85", "\u0301", "<|endoftext|>", "<|endof", "τ", "हि"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=10).map("".join))
+def test_counts_of_every_prefix_in_any_script(counter, text):
+    got = counter.prefix_counts(text).tolist()
+    assert got == [len(counter.library.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+
+
+class _Deaf:
+    """A tokenizer library that splits, but doesn't encode."""
+
+    def __init__(self, library):
+        self.pre_tokenizer = library.pre_tokenizer
+
+
+@pytest.mark.parametrize("unit", ["x", "П", "日", "  ", "!", "a b ", "Привет, мир! ", "<|endoftext|>", "it's "])
+def test_budgets_are_lookups(counter, monkeypatch, unit):
+    """No call of the library's encoder, and time in proportion to the length."""
+    monkeypatch.setattr(counter, "library", _Deaf(counter.library))
+
+    def seconds(n):
+        text, began = unit * (n // len(unit)), time.process_time()
+        table = counter.prefixes(text)
+        for budget in (0, 10, 100, 1000):
+            n = table.longest_within(budget)
+            assert table.at(n) <= budget and (n == len(text) or table.counts[n + 1 :].min() > budget)
+        return time.process_time() - began
+
+    seconds(2_000)
+    few, many = min(seconds(10_000) for _ in range(2)), seconds(80_000)
+    assert many < 24 * few + 0.5
+
+
+def test_stored_tables(counter):
+    for text in ODD:
+        table = counter.prefixes(text)
+        back = tokens.PrefixTable.from_steps(table.steps())
+        assert (back.counts == table.counts).all() and back.chars_at(2) == next((n for n, c in enumerate(table.counts) if c >= 2), len(text))
+
+
+def test_caches_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "_MOST_PIECES", 5)
+    monkeypatch.setattr(tokens, "_MOST_PAIRS", 7)
+    own = tokens.PrefixCounter(tokens.default_tokenizer())
+    for text in ("some words of a text, which has more of them than are kept " * 2, "other ones<|endoftext|>and more<|endoftext|>"):
+        assert own.count(text) == len(own.library.encode(text, add_special_tokens=False).ids)
+        assert len(own._steps) <= 5 and len(own._fits) <= 7 and len(own._cuts) <= 5
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abTh 's\n1$é'\t", max_size=25))
 def test_table_of_pieces(counter, text):
