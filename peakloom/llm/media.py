@@ -1,16 +1,17 @@
 """Media columns: ISO base media files described without decoding their payloads.
 
-describe() walks the nested boxes of a file, decodes the sample tables of each track (sizes, chunks, times, sync
-samples) and gives codec, time scale, duration and the byte ranges of key frames. store() is the other direction: it
+describe() walks the nested boxes of a file, decodes the sample tables of each track (sizes, chunks, decode and shown
+times, edits, sync samples) and gives a row a track: codec, duration, and the byte ranges and times of key frames. store() is the other direction: it
 lays bytes down as the raw 8-bit grey frames of one video track (24 x 24, 576 bytes a frame), a file that describe()
 and any reader of the format can walk; payload() reads the bytes back through the sample tables.
 
 Frames are stored in chunks of CHUNK frames, of which the first is marked as a sync sample: a place from which to read.
 
-Cases: null counts as the empty text, which is one frame of padding. Bytes that aren't such a file give a row with
-codec null and no ranges (describe) rather than an error. Box sizes of 0 (to the end) and 1 (64-bit) are read, chunk
-offsets of 32 and 64 bits, sample sizes that are equal or listed. A null id stays null, repeated rows give repeated
-results, other columns are not read. Memory is a few times the largest file.
+Cases: null counts as the empty text, which is one frame of padding. Null bytes, and bytes that aren't such a file, give a
+row of nulls (describe) rather than an error, as do tables that claim more than their box or the file holds: counts are
+checked before anything is made of them. Box sizes of 0 (to the end) and 1 (64-bit) are read, chunk offsets of 32 and 64
+bits, sample sizes that are equal or listed. A fragmented file is marked as such; its fragments aren't read. A null id
+stays null, repeated rows give repeated results, other columns are not read. Memory is a few times the largest file.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ RATE = 25  # frames a second
 PAD = b"\xff"
 #: Boxes that hold boxes, with the bytes of their own before the first; fixed values of the format.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0}
+#: Boxes of the format lie at most so deep in each other, with much to spare.
+DEEPEST = 16
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -87,32 +90,38 @@ def store(payload: bytes) -> bytes:
     return b"".join((head, _box(b"mdat", payload), movie))
 
 
-def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start of content, end) of each box, those inside others after them. Stops at the first broken size."""
-    at, end = start, len(data) if end is None else end
-    while at + 8 <= end:
+def boxes(data: memoryview, start: int = 0, end: int | None = None) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, start of content, end) of each box, those inside others after them. A broken size ends the box around it.
+    Boxes nested deeper than DEEPEST, of which the format has no use, aren't walked into."""
+    open_: list[tuple[tuple[bytes, ...], int, int]] = [((), start, len(data) if end is None else end)]
+    while open_:
+        path, at, stop = open_.pop()
+        if at + 8 > stop:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         head = 8
         if size == 1:
-            if at + 16 > end:
-                return
+            if at + 16 > stop:
+                continue
             size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
         elif size == 0:
-            size = end - at
-        if size < head or at + size > end:
-            return
+            size = stop - at
+        if size < head or at + size > stop:
+            continue
         own = (*path, kind)
         yield own, at + head, at + size
-        if kind in CONTAINERS:
-            yield from boxes(data, at + head + CONTAINERS[kind], at + size, own)
-        at += size
+        open_.append((path, at + size, stop))
+        if kind in CONTAINERS and len(own) < DEEPEST:
+            open_.append((own, at + head + CONTAINERS[kind], at + size))
 
 
 @dataclass
 class Track:
-    """One track's tables: codec, width, height, timescale, duration (in time scale units), and of each sample its
-    first byte, its size and whether it is a sync sample."""
+    """One track's tables: kind (vide, soun, ...), codec, width, height (0 but for pictures), timescale, duration (in
+    time scale units, the sum of its samples' or what the edit list keeps of it), and of each sample its first byte, its
+    size, whether it is a sync sample, and when it is decoded and shown."""
 
+    kind: str
     codec: str
     width: int
     height: int
@@ -121,6 +130,8 @@ class Track:
     offsets: np.ndarray
     sizes: np.ndarray
     sync: np.ndarray
+    decoded: np.ndarray
+    shown: np.ndarray
 
     def key_ranges(self) -> list[tuple[int, int]]:
         """Byte ranges (end exclusive) of the sync samples."""
@@ -128,53 +139,108 @@ class Track:
         return list(zip(self.offsets[own].tolist(), (self.offsets[own] + self.sizes[own]).tolist(), strict=True))
 
 
-def _numbers(data: memoryview, at: int, n: int, kind: str = ">u4") -> np.ndarray:
-    return np.frombuffer(data, kind, n, at).astype(np.int64)
-
-
-def _track(data: memoryview, own: dict[bytes, tuple[int, int]]) -> Track:
-    at = own[b"mdhd"][0]
-    timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-    at = own[b"stsd"][0] + 8
-    codec = bytes(data[at + 4 : at + 8]).decode("latin-1")
-    width, height = struct.unpack_from(">HH", data, at + 32)
-    at = own[b"stsz"][0] + 4
-    size, n = struct.unpack_from(">II", data, at)
-    sizes = np.full(n, size, np.int64) if size else _numbers(data, at + 8, n)
+def _table(data: memoryview, own: dict[bytes, tuple[int, int]], name: bytes, columns: int, kind: str = ">u4", skip: int = 4) -> np.ndarray:
+    """The rows of a counted table, skip bytes after the start of its box; a count that its box can't hold is an error."""
+    start, end = own[name]
+    if start + skip + 4 > end:
+        raise ValueError("the box ends in its head")
+    n, width = struct.unpack_from(">I", data, start + skip)[0], columns * np.dtype(kind).itemsize
+    if n * width > end - start - skip - 4:
+        raise ValueError("more rows than the box holds")
+    return np.frombuffer(data, kind, n * columns, start + skip + 4).astype(np.int64).reshape(-1, columns)
+
+
+def _runs(table: np.ndarray, n: int) -> np.ndarray:
+    """The values of (count, value) rows, one for each of n samples; the last one goes on if the counts fall short."""
+    upto = np.cumsum(np.minimum(table[:, 0], n))
+    if not len(upto):
+        return np.zeros(n, np.int64)
+    return table[np.minimum(np.searchsorted(upto, np.arange(n), "right"), len(table) - 1), 1]
+
+
+def _track(data: memoryview, own: dict[bytes, tuple[int, int]], movie_scale: int) -> Track:
+    at, end = own[b"mdhd"]
+    timescale, duration = struct.unpack_from(">IQ" if data[at] == 1 else ">II", data, at + (20 if data[at] == 1 else 12))
+    kind = bytes(data[own[b"hdlr"][0] + 8 : own[b"hdlr"][0] + 12]).decode("latin-1") if b"hdlr" in own else ""
+    at, end = own[b"stsd"]
+    if at + 16 > end:
+        raise ValueError("no sample entry")
+    codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
+    width, height = struct.unpack_from(">HH", data, at + 40) if kind == "vide" and at + 44 <= end else (0, 0)
+    at, end = own[b"stsz"]
+    size, n = struct.unpack_from(">II", data, at + 4)
+    # a file can state a size for all samples that it doesn't hold: they must lie within it
+    if size and n > len(data) // size or not size and 4 * n > end - at - 12:
+        raise ValueError("more samples than the file holds")
+    sizes = np.full(n, size, np.int64) if size else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
     wide = b"co64" in own
-    at = own[b"co64" if wide else b"stco"][0] + 4
-    chunks = _numbers(data, at + 4, struct.unpack_from(">I", data, at)[0], ">u8" if wide else ">u4")
-    at = own[b"stsc"][0] + 4
-    runs = _numbers(data, at + 4, 3 * struct.unpack_from(">I", data, at)[0]).reshape(-1, 3)
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-    chunk_of = np.repeat(np.arange(len(chunks)), per_chunk)[:n]
-    upto = np.cumsum(sizes) - sizes
-    first = np.append(0, np.cumsum(per_chunk))[:-1]
-    offsets = chunks[chunk_of] + upto - upto[first[chunk_of]]
+    chunks = _table(data, own, b"co64" if wide else b"stco", 1, ">u8" if wide else ">u4")[:, 0]
+    runs = _table(data, own, b"stsc", 3)
+    upto = np.append(runs[:, 0], len(chunks) + 1)
+    if len(runs) and (runs[0, 0] != 1 or (np.diff(upto) < 0).any()):
+        raise ValueError("chunk runs out of order")
+    per_chunk = np.minimum(np.repeat(runs[:, 1], np.diff(upto)), n)
+    first = np.append(0, np.cumsum(per_chunk))
+    if first[-1] < n:
+        raise ValueError("fewer places than samples")
+    chunk_of = np.searchsorted(first[1:], np.arange(n), "right")
+    before = np.append(0, np.cumsum(sizes))
+    offsets = chunks[chunk_of] + before[:-1] - before[np.minimum(first[chunk_of], n)]
+    if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise ValueError("samples outside the file")
     sync = np.ones(n, bool)
     if b"stss" in own:
-        at = own[b"stss"][0] + 4
+        marked = _table(data, own, b"stss", 1)[:, 0] - 1
+        if len(marked) and (marked.min() < 0 or marked.max() >= n):
+            raise ValueError("sync samples that don't exist")
         sync[:] = False
-        sync[_numbers(data, at + 4, struct.unpack_from(">I", data, at)[0]) - 1] = True
-    return Track(codec, width, height, timescale, duration, offsets, sizes, sync)
+        sync[marked] = True
+    lasts = _runs(_table(data, own, b"stts", 2), n) if b"stts" in own else np.zeros(n, np.int64)
+    decoded = np.cumsum(lasts) - lasts
+    later = _runs(_table(data, own, b"ctts", 2, ">i4" if data[own[b"ctts"][0]] == 1 else ">u4"), n) if b"ctts" in own else np.zeros(n, np.int64)
+    length, start = int(lasts.sum()) or int(duration), 0
+    if b"elst" in own and movie_scale:
+        version = data[own[b"elst"][0]]
+        edits = _edits(data, own, version)
+        kept = [(span, media) for span, media in edits if media >= 0]
+        if kept:
+            length, start = sum(span for span, _ in kept) * timescale // movie_scale or length, kept[0][1]
+    return Track(kind, codec, width, height, timescale, length, offsets, sizes, sync, decoded, decoded + later - start)
+
+
+def _edits(data: memoryview, own: dict[bytes, tuple[int, int]], version: int) -> list[tuple[int, int]]:
+    """(length in the movie's time scale, start in the track's one, -1 for a pause) of each edit."""
+    form = ">QqI" if version == 1 else ">IiI"
+    start, end = own[b"elst"]
+    n = struct.unpack_from(">I", data, start + 4)[0]
+    if n * struct.calcsize(form) > end - start - 8:
+        raise ValueError("more edits than the box holds")
+    return [struct.unpack_from(form, data, start + 8 + k * struct.calcsize(form))[:2] for k in range(n)]
 
 
 def tracks(data: bytes) -> list[Track]:
-    """The tracks of a file; those whose tables are missing or broken are left out."""
-    view, found, own = memoryview(data), [], []
+    """The tracks of a file; those whose tables are missing or broken, or say what the file can't hold, are left out."""
+    view, found, own, scale = memoryview(data), [], [], 0
     for path, start, end in boxes(view):
-        if path[-1] == b"trak":
+        if path == (b"moov", b"mvhd") and start + 24 <= end:
+            scale = struct.unpack_from(">I", view, start + (20 if view[start] == 1 else 12))[0]
+        elif path == (b"moov", b"trak"):
             own.append({})
         elif own and path[:2] == (b"moov", b"trak"):
-            own[-1][path[-1]] = (start, end)
+            own[-1].setdefault(path[-1], (start, end))
     for x in own:
         try:
-            found.append(_track(view, x))
-        except (KeyError, ValueError, IndexError, struct.error):
+            found.append(_track(view, x, scale))
+        except (KeyError, ValueError, IndexError, OverflowError, struct.error):
             continue
     return found
 
 
+def fragmented(data: bytes) -> bool:
+    """Whether a file keeps samples in fragments (moof), which the tables of its tracks don't list."""
+    return any(path == (b"moof",) for path, _, _ in boxes(memoryview(data)))
+
+
 def payload(data: bytes, track: Track) -> bytes:
     """The bytes of all samples of a track in order; neighbours in the file are read as one range."""
     if not len(track.sizes):
@@ -186,30 +252,38 @@ def payload(data: bytes, track: Track) -> bytes:
     return b"".join(data[a:b] for a, b in zip(track.offsets[starts].tolist(), ends[stops].tolist(), strict=True))
 
 
-DESCRIBED = "codec string, width int, height int, timescale long, duration long, n_samples long, key_ranges array<struct<start:long,end:long>>"
+TRACK = "kind string, codec string, width int, height int, timescale long, duration long, seconds double, n_samples long, first_shown long, key_ranges array<struct<start:long,end:long>>, key_times array<long>"
+_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_TRACK_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), _RANGES, pa.list_(pa.int64())]
 
 
-def described(data: bytes | None) -> dict:
-    """The columns of DESCRIBED for a file's first track."""
-    found = tracks(data) if data else []
-    if not found:
-        return {"codec": None, "width": None, "height": None, "timescale": None, "duration": None, "n_samples": None, "key_ranges": []}
-    t = found[0]
-    ranges = [{"start": a, "end": b} for a, b in t.key_ranges()]
-    return {"codec": t.codec, "width": t.width, "height": t.height, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "key_ranges": ranges}
+def described(data: bytes | None) -> list[dict]:
+    """The columns of TRACK for each track of a file; empty where there are none that can be read."""
+    out = []
+    for t in tracks(data) if data else []:
+        ranges, keys = [{"start": a, "end": b} for a, b in t.key_ranges()], t.shown[np.flatnonzero(t.sync)].tolist()
+        seconds = t.duration / t.timescale if t.timescale else None
+        out.append(dict(zip((x.split()[0] for x in TRACK.split(", ")), (t.kind, t.codec, t.width, t.height, t.timescale, t.duration, seconds, len(t.sizes), int(t.shown.min()) if len(t.shown) else None, ranges, keys), strict=True)))
+    return out
 
 
 def describe(media: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
-    """One row a file: doc_id and the columns of DESCRIBED. Only the tables are decoded."""
+    """One row a track: doc_id, track (from 0), fragmented (its samples, or more of them, are in fragments) and the columns of
+    TRACK; a file without a track that can be read has one row with nulls. Only the tables are decoded."""
     rows = media.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{media_col}`").alias("media"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {DESCRIBED}"
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, track int, fragmented boolean, {TRACK}"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in DESCRIBED.split(", ")]
-        types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        for batch in in_slices(batches):
-            out = [described(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[c] for o in out], t) for c, t in zip(names, types, strict=True)]], ["doc_id", *names])
+        names = [x.split()[0] for x in TRACK.split(", ")]
+        for batch in in_slices(batches, 64):
+            at, out = [], []
+            for k, data in enumerate(batch.column(1).to_pylist()):
+                parts = fragmented(data) if data else None
+                found = described(data)
+                out += [{"track": n, "fragmented": parts, **t} for n, t in enumerate(found)] or [{"fragmented": parts}]
+                at += [k] * max(1, len(found))
+            columns = [pa.array([o.get(c) for o in out], t) for c, t in zip(["track", "fragmented", *names], [pa.int32(), pa.bool_(), *_TRACK_TYPES], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["doc_id", "track", "fragmented", *names])
 
     return map_arrow(rows, walk, schema)
 

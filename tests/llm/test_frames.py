@@ -138,7 +138,9 @@ def test_media(docs, empty):
         want.append((r[0], len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:])))
     _same([tuple(r)[:5] for r in got], want)
     files = media.describe(media.to_media(docs))
-    assert files.where("codec is null").count() == 0 and files.count() == len(_rows())
+    assert files.where("codec is null or track <> 0 or fragmented").count() == 0 and files.count() == len(_rows())
+    odd = media.describe(docs.select("doc_id", F.when(F.col("doc_id") > 3, F.col("text").cast("binary")).alias("media")))
+    assert odd.where("codec is null").count() == len(_rows())
     assert media.media_digest(empty).count() == 0
 
 

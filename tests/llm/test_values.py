@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -297,11 +298,67 @@ def test_media_boxes():
     file = media.store(media.padded(b"x"))
     paths = [b"/".join(p) for p, _, _ in media.boxes(memoryview(file))]
     assert paths[:3] == [b"ftyp", b"mdat", b"moov"] and b"moov/trak/mdia/minf/stbl/stsz" in paths
-    assert media.tracks(b"no boxes at all") == [] and media.tracks(file[:-200]) == [] and media.described(None)["codec"] is None
+    assert media.tracks(b"no boxes at all") == [] and media.tracks(file[:-200]) == [] and media.described(None) == []
     listed = media._box(b"moov", media._box(b"trak", media._box(b"free")))
     assert media.tracks(listed) == []
 
 
+def _changed(file, box, at, value):
+    """The file with 32 bits at a place of a box's content replaced."""
+    start = next(a for p, a, _ in media.boxes(memoryview(file)) if p[-1] == box)
+    return file[: start + at] + struct.pack(">I", value) + file[start + at + 4 :]
+
+
+def test_hostile_media():
+    file = media.store(media.padded(b"x" * 50_000))
+    assert len(media.tracks(file)) == 1
+    nested = b""
+    for _ in range(1_200):
+        nested = media._box(b"moov", nested)
+    assert media.tracks(nested) == [] and media.tracks(nested + file) and media.described(nested) == []
+    for box, at in ((b"stsz", 8), (b"stsz", 4), (b"stsc", 4), (b"stsc", 12), (b"stsc", 8), (b"stco", 4), (b"stco", 8), (b"stss", 4), (b"stss", 8), (b"stts", 4)):
+        for value in (0xFFFFFFFF, 0x7FFFFFFF, 0):
+            for t in media.tracks(_changed(file, box, at, value)):
+                assert len(t.sizes) <= 100 and (t.offsets + t.sizes <= len(file)).all()
+    r = random.Random(3)
+    for _ in range(300):
+        cut = bytearray(file[-900:])
+        for _ in range(r.randrange(1, 6)):
+            cut[r.randrange(len(cut))] = r.randrange(256)
+        media.described(file[:-900] + bytes(cut))
+
+
+def _two_tracks():
+    """A file with a picture track of three frames, shown out of order and edited, and a sound track of two samples."""
+    full, box = media._full, media._box
+    head = box(b"ftyp", b"isom", bytes(4))
+    first = len(head) + 8
+
+    def track(kind, codec, timescale, sizes, times, offsets, more):
+        entry = box(codec, bytes(6), b"\0\1", bytes(16), struct.pack(">HH", 320, 240), bytes(50)) if kind == b"vide" else box(codec, bytes(28))
+        stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), entry), full(b"stts", struct.pack(">I", len(times)), *[struct.pack(">II", *t) for t in times]), *more,
+                   full(b"stsz", struct.pack(">II", 0, len(sizes)), struct.pack(f">{len(sizes)}I", *sizes)), full(b"stsc", struct.pack(">IIII", 1, 1, 1, 1)), full(b"co64", struct.pack(">I", len(offsets)), struct.pack(f">{len(offsets)}Q", *offsets)))
+        edit = box(b"edts", full(b"elst", struct.pack(">IIiIIiI", 2, 1000, -1, 65536, 2500, 10, 65536))) if kind == b"vide" else b""
+        return box(b"trak", edit, box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, timescale, 999, 0, 0)), full(b"hdlr", bytes(4), kind, bytes(12)), box(b"minf", stbl)))
+
+    video = track(b"vide", b"avc1", 100, [3, 4, 5], [(2, 40), (1, 60)], [first, first + 3, first + 7], [full(b"ctts", struct.pack(">IIIIIII", 3, 1, 10, 1, 80, 1, 0)), full(b"stss", struct.pack(">III", 2, 1, 3))])
+    audio = track(b"soun", b"mp4a", 8000, [6, 6], [(2, 1024)], [first + 12, first + 18], [])
+    return head + box(b"mdat", b"aaabbbbcccccddddddeeeeee") + box(b"moov", full(b"mvhd", struct.pack(">IIII", 0, 0, 1000, 3500), bytes(80)), video, audio)
+
+
+def test_every_track_is_described():
+    file = _two_tracks()
+    video, audio = media.described(file)
+    assert (video["kind"], video["codec"], video["width"], video["height"], video["timescale"], video["n_samples"]) == ("vide", "avc1", 320, 240, 100, 3)
+    assert [file[x["start"] : x["end"]] for x in video["key_ranges"]] == [b"aaa", b"ccccc"]
+    assert video["duration"] == 250 and video["seconds"] == 2.5 and video["key_times"] == [0, 70] and video["first_shown"] == 0
+    t = media.tracks(file)[0]
+    assert t.decoded.tolist() == [0, 40, 80] and t.shown.tolist() == [0, 110, 70]
+    assert (audio["kind"], audio["codec"], audio["width"], audio["duration"], audio["seconds"], audio["key_times"]) == ("soun", "mp4a", 0, 2048, 0.256, [0, 1024])
+    assert media.payload(file, media.tracks(file)[1]) == b"ddddddeeeeee"
+    assert not media.fragmented(file) and media.fragmented(file + media._box(b"moof", bytes(8)))
+
+
 PAGE = "<html><body><div id=top class='menu-bar'><a href=x>Home</a></div><div class=content><h2>Title here</h2><p>Hello, this is a <b>bo</b>ld text. It goes on,&nbsp;and on.<p>Short &lt;1&gt;.</p><p>Another paragraph with words, commas, and so on. Yes.</p><div class=comments><p>First! I agree, totally, with it.</p></div></div><div class='sidebar'>x y z</div><script>var a='<p>no</p>';</script><footer>c</footer></body></html>"
 
 
