@@ -6,7 +6,8 @@ texts are mapped by Nyström's method onto LANDMARKS of them; one ridge regressi
 fitted there. As the kernel is linear in the presence vector, landmarks and coefficients fold into one matrix with a
 column a language, and a batch of texts is scored by one matrix product.
 
-The fit reads a bounded sample: about PER_LANGUAGE texts of each language, chosen by a hash of the id, whole texts.
+The fit reads a bounded sample of labelled rows: about PER_LANGUAGE texts of each language, chosen by a hash of the row,
+whole texts. Tasks turn them into presence bits, 8 KB a text at most however long it is, which is what the driver gets.
 
 Cases: a null text, or one without a letter, gets `und` with score 0, as does every text if no labelled row exists.
 A null id stays null, repeated rows give repeated results, other columns are not read, an empty table gives an empty
@@ -16,6 +17,7 @@ result. Whole texts are used, however long. Ties go to the language first in ord
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,11 +71,31 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((len(texts), DIM), np.float32)
     for row, text in zip(x, texts, strict=True):
         row[places(text)] = 1
+    return _scaled(x)
+
+
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = x.sum(1, dtype=np.float64)
     x *= (1 / np.sqrt(np.maximum(size, 1)))[:, None].astype(np.float32)
     return x, size > 0
 
 
+def packed(text: str) -> bytes:
+    """A text's presence bits, compressed; empty without letters."""
+    at = places(text)
+    if not len(at):
+        return b""
+    bits = np.zeros(DIM, bool)
+    bits[at] = True
+    return zlib.compress(np.packbits(bits).tobytes(), 1)
+
+
+def _vectors(bits: list[bytes]) -> np.ndarray:
+    """Scaled presence vectors of packed ones."""
+    rows = np.frombuffer(b"".join(map(zlib.decompress, bits)), np.uint8).reshape(-1, DIM // 8)
+    return _scaled(np.unpackbits(rows, axis=1).astype(np.float32))[0]
+
+
 @dataclass
 class LanguageModel:
     """languages: in order; weights: DIM x languages; offset: a value a language."""
@@ -101,8 +123,24 @@ class LanguageModel:
 
 
 def fit_texts(texts: list[str], labels: list[str], landmarks: int | None = None, ridge: float = RIDGE, seed: int = 7) -> LanguageModel:
-    """The model of labelled texts; landmarks, by default more with more languages, are dealt to the languages in turn."""
-    pairs = [(t, y) for t, y in zip(texts, labels, strict=True) if len(places(t))]
+    """The model of labelled texts."""
+    return fit_packed([packed(t) for t in texts], labels, landmarks, ridge, seed)
+
+
+def _products(left: list[bytes], right: list[bytes], block: int = 256) -> np.ndarray:
+    """Kernel values of packed texts, in blocks, so that few vectors are held at full width."""
+    out = np.empty((len(left), len(right)), np.float64)
+    for j in range(0, len(right), block):
+        b = _vectors(right[j : j + block])
+        for i in range(0, len(left), block):
+            out[i : i + block, j : j + block] = _vectors(left[i : i + block]) @ b.T
+    return out
+
+
+def fit_packed(bits: list[bytes], labels: list[str], landmarks: int | None = None, ridge: float = RIDGE, seed: int = 7) -> LanguageModel:
+    """The model of labelled texts' packed presence; landmarks, by default more with more languages, are dealt to the
+    languages in turn."""
+    pairs = [(b, y) for b, y in zip(bits, labels, strict=True) if b]
     languages = sorted({y for _, y in pairs})
     if not languages:
         return LanguageModel([], np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
@@ -114,42 +152,48 @@ def fit_texts(texts: list[str], labels: list[str], landmarks: int | None = None,
         for y in languages:
             if own[y] and len(chosen) < landmarks:
                 chosen.append(own[y].pop())
-    marks, _ = presence([pairs[i][0] for i in chosen])
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    everything, marks = [b for b, _ in pairs], [pairs[i][0] for i in chosen]
+    against = _products(everything, marks)
+    values, vectors = np.linalg.eigh(against[chosen])
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # Nyström features of x: k(x, landmarks) @ root
-    feats = np.concatenate([presence([t for t, _ in pairs[k : k + 64]])[0] @ marks.T for k in range(0, len(pairs), 64)]).astype(np.float64) @ root
+    feats = against @ root
     y = np.array([[1.0 if p[1] == name else -1.0 for name in languages] for p in pairs])
     weight = _balance(pairs)
     mean_f, mean_y = weight @ feats, weight @ y
     a = (feats - mean_f) * np.sqrt(weight)[:, None]
     b = (y - mean_y) * np.sqrt(weight)[:, None]
     beta = np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b)
-    return LanguageModel(languages, (marks.T @ (root @ beta)).astype(np.float32), (mean_y - mean_f @ beta).astype(np.float32))
+    folded = (root @ beta).astype(np.float32)
+    weights = sum(_vectors(marks[k : k + 256]).T @ folded[k : k + 256] for k in range(0, len(marks), 256))
+    return LanguageModel(languages, weights, (mean_y - mean_f @ beta).astype(np.float32))
 
 
-def _balance(pairs: list[tuple[str, str]]) -> np.ndarray:
+def _balance(pairs: list[tuple[bytes, str]]) -> np.ndarray:
     """Weights that sum to 1, each language the same share."""
     names, inverse, count = np.unique([y for _, y in pairs], return_inverse=True, return_counts=True)
     return 1 / (len(names) * count[inverse])
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """The model of the rows where learn holds and the label isn't null. To the driver come one count a language and
-    about per_language texts of each (all equal ids together; beyond twice that many, the rest stays)."""
-    rows = docs.where(learn & F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label"))
+    """The model of the rows where learn holds and neither text nor label is null. To the driver come one count a language
+    and the presence bits of about per_language texts of each: a row is chosen by a hash of its id, text and place, so
+    null and repeated ids are as good as others."""
+    own = docs.select(learn.alias("learn"), F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label"))
+    rows = own.where("learn and label is not null and text is not null")
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    texts: list[str] = []
-    labels: list[str] = []
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("language")), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id(), F.lit("language")), F.lit(1 << 30))
     chosen = F.lit(False)
     for name, n in counts.items():
-        chosen = chosen | ((F.col("label") == name) & (place < int(min(1.0, per_language / n) * (1 << 30))))
-    for r in rows.where(chosen & F.col("text").isNotNull()).limit(2 * per_language * max(1, len(counts))).select("id", "text", "label").collect():
-        texts.append(r["text"])
-        labels.append(r["label"])
-    order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i]))
-    return fit_texts([texts[i] for i in order], [labels[i] for i in order])
+        chosen = chosen | ((F.col("label") == name) & (F.col("place") < int(min(1.0, per_language / n) * (1 << 30))))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(t) for t in batch.column(1).to_pylist()], pa.binary())], ["label", "bits"])
+
+    sample = map_arrow(rows.withColumn("place", place).where(chosen).select("label", "text"), pack, "label string, bits binary").collect()
+    made = sorted((r["label"], bytes(r["bits"])) for r in sample)
+    return fit_packed([b for _, b in made], [y for y, _ in made])
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -287,6 +287,30 @@ def test_quality(spark, docs, empty):
     assert quality.classify(empty, own).count() == 0
 
 
+def test_quality_fit_equals_the_one_in_memory(spark, monkeypatch):
+    """Sums in tasks and steps, over all rows, against the same fit of plain arrays."""
+    monkeypatch.setattr(quality, "FAN", 2)
+    path = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(quality.feature_table(docs.repartition(5)), labels)
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    rows = [(r.doc_id, quality.features(r.text or "").astype(float)) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    plain = quality.fit_features(np.stack([x for i, x in rows if i in good]), np.stack([x for _, x in rows]))
+    assert model.prior == plain.prior and np.allclose(model.weights, plain.weights, atol=1e-3)
+
+
+@pytest.mark.parametrize("ids", [None, 3, "many"])
+def test_fits_on_null_and_repeated_ids(spark, ids):
+    """Labelled rows whose ids are all null, or all the same, are still learned from."""
+    texts = [(None if ids is None else 3 if ids == 3 else i, _words(i, 80) if i % 2 else " ".join(f"qu{k}ell zorp{i % 7}" for k in range(70)), "en" if i % 2 else "xx", 1) for i in range(1200)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, lang string, other int")
+    got = langid.identify(rows).join(rows.select(F.col("text").alias("t"), "lang").distinct(), F.lit(False), "left").select("lang_pred").groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"en": 600, "xx": 600}
+    labels = rows.where("lang = 'en'").select("doc_id", F.lit(1).alias("quality"), "text")
+    out = quality.classify(rows, labels.union(labels))
+    assert out.count() == 1200 and (ids is None) == (out.where("score = 0.5").count() == 1200)
+
+
 @pytest.mark.parametrize("name", [k for k, _ in corpus_pipeline.STAGES])
 def test_stages_on_odd_rows(spark, docs, empty, name):
     stage = dict(corpus_pipeline.STAGES)[name]
