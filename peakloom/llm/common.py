@@ -20,15 +20,14 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the whole cluster shares. It is the session's spark.checkpoint.dir; where that is
-    unset, as in local tests, one is made and set."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
+    """The folder that the whole cluster shares: the session's spark.checkpoint.dir, or the one that its context was given.
+    Where neither is set, a local master, as in tests, gets one in the temp folder; on a cluster that would be a folder of
+    one machine, so it raises."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
-        known = os.path.join(tempfile.gettempdir(), f"peakloom-{uuid.uuid4().hex}")
-        spark.sparkContext.setCheckpointDir(known)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"peakloom-{uuid.uuid4().hex}"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
 

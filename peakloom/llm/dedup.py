@@ -9,13 +9,16 @@ probability near the similarity of the sets. With b close to 1 that holds for se
 2. BANDS bands of ROWS registers each: classes that agree in a band are candidates. A pair at the limit of 0.75 agrees
    in none of 32 bands of 4 with a probability of 5e-6.
 3. In each band's bucket every class is held against the smallest one; the similarity of a pair comes from the
-   numbers of greater, equal and smaller registers by maximum likelihood. In buckets where one falls short all pairs
-   are estimated, in blocks of BLOCK x BLOCK, of which only a spanning forest of likely pairs leaves the task.
-   Likely pairs (MARGIN below the limit) make coarse clusters: a true pair's ends are in the same one.
-4. Within coarse clusters, full shingle sets are made again from the texts and all pairs are counted exactly, in blocks
-   of bounded weight; again a spanning forest of true pairs leaves the task.
+   numbers of greater, equal and smaller registers by maximum likelihood. Classes that fall short are held against all
+   of the bucket, in blocks of BLOCK x BLOCK, of which only a spanning forest of likely pairs leaves the task. Likely
+   pairs (MARGIN below the limit) make coarse clusters: a true pair's ends are in the same one.
+4. Within coarse clusters, full shingle sets are made again from the texts and pairs are counted exactly, in blocks of
+   bounded weight; again a spanning forest of true pairs leaves the task. In a cluster of more than one block, all
+   classes are held against PIVOTS of them first, and only those that this leaves outside the largest part against all.
 5. Connected components of the true pairs, by rounds of star operations.
-No bucket, cluster, group of copies or component meets in one task, no pair list leaves a block, none is cut short.
+Buckets and clusters are cut to blocks, copies of a hot set are broadcast to; pairs don't leave a block, and none is left
+out. What grows faster than its group is the number of blocks where many classes neither match the head, or any pivot, nor
+have a match among themselves: classes outside times classes, the exact way that is left.
 
 Cases: a null text, or one without words, has the empty set: linked with nothing, its own component. Repeated rows have
 equal sets, so they are one group, and each row gets a result. A null id stays null; its component is the smallest id
@@ -44,6 +47,10 @@ MARGIN = 0.15
 BLOCK = 512
 #: The most shingles of a side of a block in the exact step.
 WEIGHT = 400_000
+#: Classes of a large cluster that all of it is held against first, and the most bytes of their sets that are broadcast.
+PIVOTS, PIVOT_BYTES = 6, 16_000_000
+#: The share of all documents from which a set's copies count as hot.
+HOT_SHARE = 1e-4
 
 _RNG = np.random.default_rng(51)
 _MULTIPLY = _RNG.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -132,12 +139,16 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64((int(x.sum(dtype=np.uint64)) * 0xD6E8FEB86659FD93 + len(shingles)) & (2**64 - 1))))
 
 
-def in_blocks(rows: DataFrame, key: str, chunks: str, unique: str) -> DataFrame:
-    """Copies rows so that any two of a key meet: key's rows are dealt to a number (the column chunks) of chunks by a
-    hash of unique, and each chunk goes to the pairs of chunks that hold it. Adds lo, hi (the pair) and chunk."""
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(unique), F.col(chunks)))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(chunks) - 1)))
-    return dealt.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("other")
+def against_open(rows: DataFrame, unique: str) -> DataFrame:
+    """Copies rows so that each open row of a key meets all rows of the key. rows: open (boolean), chunks (blocks of the
+    key's rows) and open_chunks (of its open ones). A key of one block is that block; else all rows are dealt to its
+    chunks and open ones to open chunks, by a hash of unique, and each pair of chunks is a block. Adds lo and hi."""
+    one = rows.where("chunks = 1").withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(0).cast("long")})
+    many = rows.where("chunks > 1 and open_chunks > 0")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = many.withColumn("hi", F.pmod(F.xxhash64(unique), F.col("chunks"))).withColumn("lo", upto("open_chunks"))
+    opened = many.where("open").withColumn("lo", F.pmod(F.xxhash64(unique, F.lit(1)), F.col("open_chunks"))).withColumn("hi", upto("chunks"))
+    return one.unionByName(every).unionByName(opened)
 
 
 def each_block(rows: DataFrame, key: str, work: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
@@ -267,14 +278,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row a document: doc_id, n_shingles, component_id, kept."""
     sets = stored(document_sets(docs, id_col, text_col, size))
     found = set_components(docs, sets, id_col, text_col, percent, size)
-    classes = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
+    classes = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"))
     linked = classes.join(found, classes["set_id"] == found["node"])
     firsts = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(firsts, "root").select(F.col("set_id").alias("__set"), F.col("least").alias("__least"))
-    whole = classes.join(linked, classes["set_id"] == F.col("__set"), "left").select(F.col("set_id").alias("__id"), F.coalesce("__least", "first").alias("__component"))
-    out = sets.select("doc_id", "n_shingles", "set_id").join(whole, F.col("set_id") == F.col("__id"), "left")
-    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("__component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    whole = classes.join(linked, classes["set_id"] == F.col("__set"), "left").select(F.col("set_id").alias("__id"), F.coalesce("__least", "first").alias("__component"), "members")
+    return _with_components(sets.select("doc_id", "n_shingles", "set_id"), cut(whole))
+
+
+def _with_components(sets: DataFrame, whole: DataFrame) -> DataFrame:
+    """The result for the documents' sets (doc_id, n_shingles, set_id), given the component of each set (__id, __component,
+    members). Sets with a HOT_SHARE of all documents or more, of which there are 1 / HOT_SHARE at most, are broadcast, so
+    that no task gets all copies of one; so are all if they are few."""
+    hot = F.col("members") >= F.lit(max(1, int(sets.count() * HOT_SHARE)))
+    on = F.col("set_id") == F.col("__id")
+    known = sets.where("set_id is not null").join(F.broadcast(whole.where(hot)), on, "left")
+    rest = known.where("__id is null").select("doc_id", "n_shingles", "set_id").join(light(whole.where(~hot)), on)
+    empty = sets.where("set_id is null").withColumn("__component", F.col("doc_id"))
+    columns = ["doc_id", "n_shingles", "__component"]
+    out = known.where("__id is not null").select(columns).unionByName(rest.select(columns)).unionByName(empty.select(columns))
+    return out.select("doc_id", "n_shingles", F.col("__component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("__component")).alias("kept"))
 
 
 def set_components(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
@@ -293,20 +316,69 @@ def set_components(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str,
     right = small.toDF("b", "rb", "nb")
     judged = cut(_estimated(stars.join(left, "a").join(right, "b"), limit))
     short = judged.where("not likely").select(F.col("a").alias("set_id"), F.col("b").alias("head"))
-    open_bands = member.join(short, ["set_id", "head"], "left_semi").where("members > 2").select("band").distinct()
-    open_rows = member.join(open_bands, "band", "left_semi").join(small, "set_id")
-    blocks = in_blocks(open_rows.withColumn("chunks", F.ceil(F.col("members") / BLOCK)), "band", "chunks", "set_id").select("band", "lo", "hi", "set_id", "n", "registers")
+    opened = cut(member.where("members > 2").join(short, ["set_id", "head"], "left_semi").select("band", "set_id", F.lit(True).alias("open")))
+    counts = opened.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("open_chunks"))
+    rows = member.join(counts, "band").join(opened, ["band", "set_id"], "left").join(small, "set_id")
+    rows = rows.select("band", "set_id", "n", "registers", F.coalesce("open", F.lit(False)).alias("open"), F.ceil(F.col("members") / BLOCK).alias("chunks"), "open_chunks")
+    blocks = against_open(rows, "set_id").select("band", "lo", "hi", "set_id", "n", "registers")
     more = each_block(blocks, "band", lambda block: _likely_pairs(block, limit))
     coarse = components(judged.where("likely").select("a", "b").union(more))
     # 4. full sets of the classes in coarse clusters
     weights = coarse.join(small.select("set_id", "n"), coarse["node"] == F.col("set_id")).select("node", "root", "n")
     total = weights.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / WEIGHT)).alias("chunks"))
-    wanted = weights.join(total, "root")
     one = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
+    wanted = weights.join(total, "root")
     wanted = cut(wanted.join(one, wanted["node"] == one["set_id"]).select("node", "root", "chunks", "first"))
-    full = shingle_sets(docs, wanted.select("node", "first"), id_col, text_col, size)
-    blocks = in_blocks(wanted.select("node", "root", "chunks").join(full, wanted["node"] == full["set_id"]), "root", "chunks", "node").select("root", "lo", "hi", "set_id", "shingles")
-    return components(cut(each_block(blocks, "root", lambda block: _true_pairs(block, percent))))
+    ready = wanted.where("chunks = 1").withColumns({"open": F.lit(True), "open_chunks": F.lit(1).cast("long")})
+    full = lambda nodes: shingle_sets(docs, nodes.select("node", "first"), id_col, text_col, size)
+    large = wanted.where("chunks > 1")
+    edges = None
+    if not large.isEmpty():
+        sets_of = stored(full(large))
+        edges = cut(_pivot_edges(large, sets_of, percent))
+        outside = _outside(large, edges)
+        blocks = against_open(outside.join(sets_of, outside["node"] == sets_of["set_id"]), "node").select("root", "lo", "hi", "set_id", "shingles")
+        edges = edges.union(each_block(blocks, "root", lambda block: _true_pairs(block, percent)))
+    small_sets = full(ready)
+    blocks = against_open(ready.join(small_sets, ready["node"] == small_sets["set_id"]), "node").select("root", "lo", "hi", "set_id", "shingles")
+    found = each_block(blocks, "root", lambda block: _true_pairs(block, percent))
+    return components(cut(found if edges is None else found.union(edges)))
+
+
+def _pivot_edges(large: DataFrame, sets_of: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between classes of large (node, root) and PIVOTS of their cluster, the ones of least hashes, counted
+    exactly. The pivots' sets are broadcast if they take at most PIVOT_BYTES in all."""
+    least = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS)]
+    pivots = large.groupBy("root").agg(F.array_distinct(F.array(*least)).alias("p")).select(F.col("root").alias("__root"), F.explode("p").alias("pivot"))
+    pivots = cut(pivots.join(sets_of.toDF("__id", "other"), F.col("pivot") == F.col("__id")).select("__root", "pivot", "other"))
+    weight = pivots.agg(F.sum(F.length("other"))).first()[0] or 0
+    members = large.select("node", "root").join(sets_of, F.col("node") == F.col("set_id")).select("node", "root", "shingles")
+    pairs = members.join(F.broadcast(pivots) if weight <= PIVOT_BYTES else pivots, F.col("root") == F.col("__root")).where("node <> pivot").select("node", "pivot", "shingles", "other")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for a, b, x, y in zip(f["node"], f["pivot"], f["shingles"], f["other"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    out.append((a, b))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return map_pandas(pairs, run, "a long, b long")
+
+
+def _outside(large: DataFrame, edges: DataFrame) -> DataFrame:
+    """The classes of large with open: whether they are outside their cluster's largest part by the edges, and open_chunks;
+    clusters that are whole by them are left out."""
+    part = components(edges)
+    known = large.join(part.toDF("__n", "part"), F.col("node") == F.col("__n"), "left").select("node", "root", "chunks", "part")
+    sizes = known.where("part is not null").groupBy("root", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy(F.col("root").alias("__root")).agg(F.max(F.struct("n", "part"))["part"].alias("__part"))
+    marked = known.join(light(cut(largest)), F.col("root") == F.col("__root"), "left").withColumn("open", ~F.col("part").eqNullSafe(F.col("__part")) | F.col("part").isNull())
+    marked = cut(marked.select("node", "root", "chunks", "open"))
+    counts = marked.where("open").groupBy(F.col("root").alias("__root")).agg(F.ceil(F.count("*") / BLOCK).alias("open_chunks"))
+    return marked.join(light(cut(counts)), F.col("root") == F.col("__root")).select("node", "root", "chunks", "open", "open_chunks")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
