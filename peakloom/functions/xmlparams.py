@@ -131,6 +131,19 @@ def tree_xml(cvs: list[Column], users: list[Column]) -> Column:
     return F.concat(F.lit("<params><cvParams>"), *cvs, F.lit("</cvParams><userParams>"), *users, F.lit("</userParams></params>"))
 
 
+def component_list(parts: list[tuple[str, int, Column]]) -> Column:
+    """A component list as XML text: (kind, order, name of its param) of each part; values are escaped."""
+    one = lambda kind, order, name: F.concat(F.lit(f'<{kind} order="{order}"><cvParam name="'), escaped(name.cast("string")), F.lit(f'"/></{kind}>'))
+    return F.concat(F.lit(f'<componentList count="{len(parts)}">'), *[one(*p) for p in parts], F.lit("</componentList>"))
+
+
+def file_content_xml(tree: Column, source_files: list[tuple[str, str, str]]) -> Column:
+    """A file's content as XML text: its parameter tree and its source files (id, name, location); values are escaped."""
+    one = lambda k, n, p: F.concat(F.lit('<sourceFile id="'), escaped(F.lit(k)), F.lit('" name="'), escaped(F.lit(n)), F.lit('" location="'), escaped(F.lit(p)), F.lit('"/>'))
+    files = F.concat(F.lit(f'<sourceFileList count="{len(source_files)}">'), *[one(*f) for f in source_files], F.lit("</sourceFileList>"))
+    return F.concat(F.lit("<fileDescription><fileContent>"), tree, F.lit("</fileContent>"), files, F.lit("</fileDescription>"))
+
+
 def clean_characters(value: Column) -> Column:
     """Characters that XML 1.0 doesn't allow as U+FFFD."""
     return F.regexp_replace(value, r"[^\x{9}\x{A}\x{D}\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "�")

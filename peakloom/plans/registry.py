@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.functions import cv, thermo, xmlparams
+from peakloom.functions import cv, dates, thermo, xmlparams
 from peakloom.operators import ingest, precursor, ranges, spectra, stats, tiling, xic
 from peakloom.plans import adapters
-from peakloom.session import table
-from peakloom.sources import codec, mgf
+from peakloom.session import local_file, table
+from peakloom.sources import codec, mgf, sqlite, store
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -339,7 +339,7 @@ def dia_histogram(s, d):
 @query(" SELECT id, e.* FROM sp JOIN (VALUES ('F', 1, 'fitted', 64, 32), ('O', 2, 'centroid', 64, 32), ('P', 3, 'profile', 32, 32)) e(code, encoding_id, mode, mz_bits, intensity_bits) ON sp.encoding = e.code")
 def data_encoding_of_spectrum(s, d):
     known = s.createDataFrame([("F", 1, "fitted", 64, 32), ("O", 2, "centroid", 64, 32), ("P", 3, "profile", 32, 32)], "code string, encoding_id int, mode string, mz_bits int, intensity_bits int")
-    return adapters.spectra(s, d).select("id", "encoding").join(F.broadcast(known), F.col("encoding") == F.col("code")).drop("encoding")
+    return adapters.spectra(s, d).select("id", "encoding").join(F.broadcast(known), F.col("encoding") == F.col("code")).drop("encoding")  # three rows
 
 
 @query(" SELECT encoding, activation, row_number() OVER (ORDER BY first) AS encoding_id FROM (SELECT encoding, activation, min(id) AS first FROM sp GROUP BY ALL)")
@@ -658,10 +658,15 @@ def _array_rows(s, d):
     return own.select("spectrum_id", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"))
 
 
-@query()
+@query(
+    ", p AS (SELECT spectrum_id, mz, intensity, row_number() OVER (PARTITION BY spectrum_id ORDER BY mz, intensity) AS i FROM pk), o AS (SELECT *, mz * 20000.0 / 1e6 AS reach, row_number() OVER (PARTITION BY spectrum_id ORDER BY intensity DESC, i) AS k FROM p), "
+    "x AS (WITH RECURSIVE r AS (SELECT spectrum_id, k, [{'mz': mz, 'reach': reach, 'intensity': intensity, 'i': i}] AS tops FROM o WHERE k = 1 UNION ALL SELECT o.spectrum_id, o.k, CASE WHEN len([1 FOR t IN r.tops IF abs(o.mz - t.mz) <= t.reach]) > 0 THEN r.tops "
+    "ELSE list_append(r.tops, {'mz': o.mz, 'reach': o.reach, 'intensity': o.intensity, 'i': o.i}) END FROM r JOIN o ON o.spectrum_id = r.spectrum_id AND o.k = r.k + 1) SELECT spectrum_id, unnest(arg_max(tops, k)) AS t FROM r GROUP BY spectrum_id) "
+    "SELECT x.spectrum_id, round(sum(p.mz * p.intensity) / sum(p.intensity), 6) AS mz, x.t.intensity AS intensity FROM x JOIN p ON p.spectrum_id = x.spectrum_id AND abs(p.mz - x.t.mz) <= x.t.reach GROUP BY x.spectrum_id, x.t"
+)
 def peak_clusters(s, d):
     own = ingest.clustered(_array_rows(s, d), 20_000.0)
-    return own.select("spectrum_id", F.inline(F.arrays_zip("mz", "intensity")))
+    return own.select("spectrum_id", F.inline(F.arrays_zip("mz", "intensity"))).select("spectrum_id", F.round("mz", 6).alias("mz"), "intensity")
 
 
 @query(" SELECT * FROM pk")
@@ -670,10 +675,163 @@ def blob_round_trip(s, d):
     return back.select("spectrum_id", "mz", "intensity", *[F.round(c, 4).alias(c) for c in ("lhwhm", "rhwhm")])  # 32 bits in the blob
 
 
-@query()
+_STREAM = "WITH e AS (SELECT event_type AS run_id, event_id AS id, epoch_us(ts) / 1e6 AS time, CAST(CASE WHEN event_id % 4 = 0 THEN 1 ELSE 2 END AS INT) AS ms_level FROM events) "
+
+
+@query(_STREAM + "SELECT *, row_number() OVER w AS new_id, CAST(sum(CASE WHEN ms_level = 1 THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS new_cycle FROM e WINDOW w AS (PARTITION BY run_id ORDER BY time, id)", views=False)
 def stream_resequence(s, d):
     """The events as a stream of spectra, put in order with bounded lateness; read as far as it has come (availableNow)
-    into a table in the shared folder."""
+    into a table in the shared folder. The table is one file and so one batch, which is why its order is the whole one."""
     from peakloom.plans.streams import resequenced_events
 
     return resequenced_events(s, d)
+
+
+@query(
+    _STREAM + ", a AS (WITH RECURSIVE r AS (SELECT run_id, ms_level, min(time) AS t FROM e GROUP BY run_id, ms_level UNION ALL SELECT r.run_id, r.ms_level, (SELECT min(e.time) FROM e WHERE e.run_id = r.run_id AND e.ms_level = r.ms_level AND e.time - r.t > 6000.0) AS t FROM r WHERE r.t IS NOT NULL) "
+    "SELECT *, lead(t) OVER (PARTITION BY run_id, ms_level ORDER BY t) AS until FROM r WHERE t IS NOT NULL) "
+    "SELECT e.run_id, e.ms_level, a.t AS row_start, arg_min(e.id, (e.time, e.id)) AS first_id, arg_max(e.id, (e.time, e.id)) AS last_id, count(*) AS n FROM a JOIN e ON e.run_id = a.run_id AND e.ms_level = a.ms_level AND e.time >= a.t AND e.time < a.until WHERE a.until IS NOT NULL GROUP BY e.run_id, e.ms_level, a.t",
+    views=False,
+)
+def stream_time_rows(s, d):
+    """The time rows that a stream of events has closed when all of it is read; each group's last one is still open."""
+    from peakloom.plans.streams import time_rows_of_events
+
+    return time_rows_of_events(s, d, 6_000.0)
+
+
+# ------------------------------------------------------------------------------------- single operators, one query each
+
+
+@query(_DENSE + ", r AS (SELECT *, 401.0 + label * 1.6 AS x, row_number() OVER (PARTITION BY vec_id ORDER BY abs(mz - (401.0 + label * 1.6)), i) AS k FROM f) SELECT vec_id, CAST(mz AS DOUBLE) AS mz, intensity FROM r WHERE k = 1 AND abs(CAST(mz AS DOUBLE) - CAST(x AS DOUBLE)) <= CAST(x AS DOUBLE) * 400.0 / 1e6", views=False)
+def nearest_peak(s, d):
+    own = _dense(s, d).select("vec_id", spectra.nearest_peak(F.col("peaks"), F.lit(401.0) + F.col("label") * 1.6, 400.0).alias("p"))
+    return own.where("p is not null").select("vec_id", F.col("p.mz").cast("double").alias("mz"), "p.intensity")
+
+
+@query(", w AS (SELECT DISTINCT iso_min, iso_max FROM sp WHERE ms_level = 2) SELECT c.c_custkey, w.iso_min, w.iso_max FROM (SELECT c_custkey, abs(c_acctbal) / 10 AS lo, abs(c_acctbal) / 10 + 30.0 AS hi FROM customer) c JOIN w ON c.lo <= w.iso_max AND w.iso_min <= c.hi")
+def window_overlaps(s, d):
+    own = table(s, d, "customer").select("c_custkey", (F.abs("c_acctbal") / 10).alias("lo")).withColumn("hi", F.col("lo") + 30.0)
+    windows = adapters.spectra(s, d).where("ms_level = 2").select("iso_min", "iso_max").distinct()
+    return ranges.overlap_join(own, "lo", "hi", windows, "iso_min", "iso_max", 25.0).select("c_custkey", "iso_min", "iso_max")
+
+
+@query(" SELECT spectrum_id, mz, intensity FROM pk WHERE mz BETWEEN 200.0 AND 600.0")
+def tile_peaks_in_range(s, d):
+    tiles = codec.encode_spectra(spectra.spectrum_arrays(adapters.peaks(s, d)))
+    return codec.decode_tiles(tiles, min_mz=200.0, max_mz=600.0).select("spectrum_id", "mz", "intensity")
+
+
+@query(" SELECT id, (iso_min + iso_max) / 2 AS precursor_mz FROM sp WHERE ms_level = 2")
+def precursor_main(s, d):
+    return precursor.main_precursor(adapters.spectra(s, d))
+
+
+def _with_xml(s, d):
+    """Level 2 headers with a scan list, of which every third has no value, and a precursor list."""
+    e, u = xmlparams.cv_element, xmlparams.user_element
+    mono = F.when(F.col("id") % 3 > 0, F.col("iso_min") + 5.0).otherwise(F.lit(0.0))
+    scan = F.concat(F.lit('<scanList count="1"><scan>'), e(cv.SCAN_START_TIME, "scan start time", F.col("time")), e(cv.FILTER_STRING, "filter string", F.concat(F.lit("FTMS ms2 "), F.col("id").cast("string"))), u("[Thermo Trailer Extra]Monoisotopic M/Z:", mono), F.lit("<scanWindowList><scanWindow>"), e("MS:1000501", "lower", F.lit(100.0)), e("MS:1000500", "upper", F.col("iso_max") + 900.0), F.lit("</scanWindow></scanWindowList></scan></scanList>"))
+    return adapters.spectra(s, d).where("ms_level = 2").withColumn("scan_list", scan)
+
+
+@query(" SELECT id, CASE WHEN id % 3 > 0 THEN iso_min + 5.0 ELSE (iso_min + iso_max) / 2 END AS precursor_mz FROM sp WHERE ms_level = 2")
+def precursor_vendor(s, d):
+    own = _with_xml(s, d)
+    return precursor.estimated(own, adapters.peaks(s, d), "vendor")
+
+
+@query(
+    ", h AS (SELECT m.id, p.spectrum_id AS scan, p.mz, row_number() OVER (PARTITION BY m.id, p.spectrum_id ORDER BY abs(p.mz - (m.iso_min + m.iso_max) / 2), p.mz) AS k FROM sp m JOIN sp s1 ON s1.ms_level = 1 AND s1.time BETWEEN m.time - 5.0 AND m.time + 5.0 "
+    "JOIN pk p ON p.spectrum_id = s1.id AND p.mz BETWEEN m.iso_min AND m.iso_max WHERE m.ms_level = 2), r AS (SELECT id, median(mz) AS mz FROM h WHERE k = 1 GROUP BY id) "
+    "SELECT sp.id, round(coalesce(r.mz, (iso_min + iso_max) / 2), 6) AS precursor_mz FROM sp LEFT JOIN r ON r.id = sp.id WHERE ms_level = 2"
+)
+def precursor_estimated(s, d):
+    p, h = _both(s, d)
+    return precursor.estimated(h, p, "refined").select("id", F.round("precursor_mz", 6).alias("precursor_mz"))
+
+
+@query(" SELECT id, 1 AS n, time, 'FTMS ms2 ' || CAST(id AS VARCHAR) AS filter, CAST(100.0 AS DOUBLE) AS min_mz, iso_max + 900.0 AS max_mz FROM sp WHERE ms_level = 2")
+def scan_list_xml(s, d):
+    own = _with_xml(s, d).select("id", F.explode(F.array(xmlparams.scans(F.col("scan_list")))).alias("x"))
+    return own.select("id", "x.n", "x.time", "x.filter", "x.min_mz", "x.max_mz")
+
+
+@query("SELECT s_suppkey, k.kind, k.place, CASE k.kind WHEN 'source' THEN s_name WHEN 'analyzer' THEN 'orbitrap' ELSE 'multiplier' END AS name FROM supplier, (VALUES ('source', 1), ('analyzer', 2), ('detector', 3)) k(kind, place)", views=False)
+def component_list_xml(s, d):
+    xml = xmlparams.component_list([("source", 1, F.col("s_name")), ("analyzer", 2, F.lit("orbitrap")), ("detector", 3, F.lit("multiplier"))])
+    own = table(s, d, "supplier").select("s_suppkey", F.explode(xmlparams.components(xml)).alias("c"))
+    return own.select("s_suppkey", "c.kind", F.col("c.order").alias("place"), "c.name")
+
+
+@query("SELECT o_orderkey AS id, 'scan=' || CAST(o_orderkey AS VARCHAR) AS title, '<cvParam name=\"a\"/>' AS params, '<scanList><scan/></scanList>' AS scan_list, CASE WHEN o_orderkey % 4 <> 0 THEN '<precursor spectrumRef=\"' || CAST(o_custkey AS VARCHAR) || '\"/>' END AS precursor FROM orders", views=False)
+def spectrum_xml_parts(s, d):
+    n = F.col("o_orderkey").cast("string")
+    precursors = F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit('<precursorList count="1"><precursor spectrumRef="'), F.col("o_custkey").cast("string"), F.lit('"/></precursorList>'))).otherwise(F.lit(""))
+    xml = F.concat(F.lit('<spectrum id="scan='), n, F.lit('"><cvParam name="a"/><scanList><scan/></scanList>'), precursors, F.lit("</spectrum>"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), thermo.spectrum_parts(xml).alias("x")).select("id", "x.*")
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS utc, CAST(epoch(o_orderdate) AS BIGINT) AS seconds, CAST(epoch(o_orderdate) AS BIGINT) - 7200 AS shifted FROM orders", views=False)
+def date_formats(s, d):
+    text = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    utc, shifted = dates.utc_time(F.concat(text, F.lit("Z"))), dates.offset_time(F.concat(text, F.lit(".000+02:00")))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), dates.utc_text(utc).alias("utc"), F.unix_seconds(utc).alias("seconds"), F.unix_seconds(shifted).alias("shifted"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS mz_ms1, CAST(p_size * 100 AS DOUBLE) AS mz_msn, 15.0::DOUBLE AS time_ms1, CASE WHEN p_size % 2 = 0 THEN 0.0::DOUBLE END AS time_msn, p_size % 3 <> 0 AS lossless, CASE WHEN p_size % 4 = 0 THEN 'DDA' WHEN p_size % 4 = 1 THEN 'SWATH' ELSE 'UNKNOWN' END AS mode FROM part", views=False)
+def store_header_params(s, d):
+    """What parameter trees say about a store: its tiles' sizes by their own names, whether peaks were left out, the mode."""
+    u, size = xmlparams.user_element, F.col("p_size")
+    odd = F.when(size % 2 == 0, u("msn_bb_time_width", F.lit("0"))).otherwise(F.lit(""))
+    mode = F.when(size % 4 == 0, F.lit("DDA acquisition")).when(size % 4 == 1, F.lit("SWATH acquisition")).otherwise(F.lit("other"))
+    xml = xmlparams.tree_xml([xmlparams.cv_element(cv.ACQUISITION_PARAMETER, "acquisition parameter", mode)], [u("ms1_bb_mz_width", size), u("msn_bb_mz_width", size * 100), u("ms1_bb_time_width", F.lit("15")), odd, u("is_lossless", (size % 3 != 0).cast("string"))])
+    own = table(s, d, "part").select("p_partkey", xmlparams.param_tree(xml).alias("t"))
+    return own.select("p_partkey", store.tile_sizes(F.col("t")).alias("s"), store.lossless(F.col("t")).alias("lossless"), store.acquisition_mode(F.col("t")).alias("mode")).select("p_partkey", "s.*", "lossless", "mode")
+
+
+# ------------------------------------------------------------------------------------------------ through a tile store
+
+
+def _stored_run(s, d) -> str:
+    """The path of a store of all spectra and peaks, written for the query that asks for it."""
+    path = local_file(s, "run.sqlite")
+    p, h = _both(s, d)
+    store.write(adapters.with_cycle(h), p, path, codec.Encoding(64, 64, fitted=True), info=store.RunInfo("own run", "2020-01-02T03:04:05Z", "SWATH", "own sample", "own instrument", (("reader", "1"), ("own converter", "2"))))
+    return path
+
+
+_FULL = "(SELECT * FROM sp WHERE id IN (SELECT spectrum_id FROM pk))"
+
+
+@query(" SELECT id, time, ms_level, cycle, CASE WHEN ms_level = 2 THEN (iso_min + iso_max) / 2 END AS main_precursor_mz, n AS data_points_count, t AS tic FROM " + _FULL + " f JOIN (SELECT spectrum_id, count(*) AS n, sum(intensity) AS t FROM pk GROUP BY spectrum_id) c ON c.spectrum_id = f.id")
+def store_headers(s, d):
+    own = store.headers(s, _stored_run(s, d))
+    return own.select("id", "time", _int("ms_level"), "cycle", "main_precursor_mz", "data_points_count", "tic")
+
+
+@query(" SELECT spectrum_id, mz, intensity FROM pk")
+def store_peaks(s, d):
+    return store.peaks(s, _stored_run(s, d)).select("spectrum_id", "mz", "intensity")
+
+
+@query(
+    ", g AS (SELECT id, time, ms_level, CASE WHEN ms_level = 2 THEN iso_min END AS iso FROM " + _FULL + "), a AS (WITH RECURSIVE r AS (SELECT ms_level, iso, min(time) AS t FROM g GROUP BY ms_level, iso UNION ALL "
+    "SELECT r.ms_level, r.iso, (SELECT min(g.time) FROM g WHERE g.ms_level = r.ms_level AND g.iso IS NOT DISTINCT FROM r.iso AND g.time - r.t > CASE WHEN r.ms_level = 1 THEN 15.0 ELSE 0.0 END) AS t FROM r WHERE r.t IS NOT NULL) SELECT * FROM r WHERE t IS NOT NULL), "
+    "q AS (SELECT g.*, (SELECT max(a.t) FROM a WHERE a.ms_level = g.ms_level AND a.iso IS NOT DISTINCT FROM g.iso AND a.t <= g.time) AS row_start FROM g), w AS (SELECT *, min(id) OVER v AS first_id, max(id) OVER v AS last_id FROM q WINDOW v AS (PARTITION BY ms_level, iso, row_start)), "
+    "b AS (SELECT w.ms_level, w.iso, w.row_start, CAST(floor(p.mz / CASE WHEN w.ms_level = 1 THEN 5.0 ELSE 10000.0 END) AS BIGINT) AS bin, min(first_id) AS first_spectrum_id, max(last_id) AS last_spectrum_id FROM pk p JOIN w ON w.id = p.spectrum_id GROUP BY ALL) "
+    "SELECT CAST(ms_level AS BIGINT) AS ms_level, CAST(bin * CASE WHEN ms_level = 1 THEN 5 ELSE 10000 END AS DOUBLE) AS begin_mz, first_spectrum_id, last_spectrum_id, count(*) AS n FROM b GROUP BY ALL"
+)
+def store_tiles(s, d):
+    """Tiles by their run slice and spectra: cut by the sizes of their level, in rows anchored at their first spectrum."""
+    path = _stored_run(s, d)
+    slices = sqlite.table(s, path, "run_slice").select(F.col("id").alias("slice"), "ms_level", "begin_mz")
+    own = sqlite.table(s, path, "bounding_box").join(slices, F.col("run_slice_id") == F.col("slice"))
+    return own.groupBy("ms_level", "begin_mz", "first_spectrum_id", "last_spectrum_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'own run' AS run, '2020-01-02T03:04:05Z' AS start, 'SWATH' AS mode, 'own sample' AS sample, 'own instrument' AS instrument, '2' AS converter_version, '0.7' AS model_version, CAST(1 AS BIGINT) AS steps", views=False)
+def store_metadata(s, d):
+    path = _stored_run(s, d)
+    own = store.run_metadata(s, path)
+    return own.select("run", "start", "mode", "sample", "instrument", F.lit(store.software_version(s, path, "CONVERTER")).alias("converter_version"), F.lit(store.model_version(s, path)).alias("model_version"), F.size("processing").cast("bigint").alias("steps"))

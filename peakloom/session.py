@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,17 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"peakloom-{os.getuid()}")
 
 
+def local_file(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder for a file that isn't Spark's own (SQLite): a path of a file system that all
+    machines have mounted, so the folder must be one."""
+    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise RuntimeError("a SQLite file needs a shared folder that is mounted")
+    path = os.path.join(folder, f"files-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return os.path.join(path, name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; only Spark touches the path, so any store that Spark reads will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
