@@ -662,11 +662,11 @@ def _array_rows(s, d):
     ", p AS (SELECT spectrum_id, mz, intensity, row_number() OVER (PARTITION BY spectrum_id ORDER BY mz, intensity) AS i FROM pk), o AS (SELECT *, mz * 20000.0 / 1e6 AS reach, row_number() OVER (PARTITION BY spectrum_id ORDER BY intensity DESC, i) AS k FROM p), "
     "x AS (WITH RECURSIVE r AS (SELECT spectrum_id, k, [{'mz': mz, 'reach': reach, 'intensity': intensity, 'i': i}] AS tops FROM o WHERE k = 1 UNION ALL SELECT o.spectrum_id, o.k, CASE WHEN len([1 FOR t IN r.tops IF abs(o.mz - t.mz) <= t.reach]) > 0 THEN r.tops "
     "ELSE list_append(r.tops, {'mz': o.mz, 'reach': o.reach, 'intensity': o.intensity, 'i': o.i}) END FROM r JOIN o ON o.spectrum_id = r.spectrum_id AND o.k = r.k + 1) SELECT spectrum_id, unnest(arg_max(tops, k)) AS t FROM r GROUP BY spectrum_id) "
-    "SELECT x.spectrum_id, round(sum(p.mz * p.intensity) / sum(p.intensity), 6) AS mz, x.t.intensity AS intensity FROM x JOIN p ON p.spectrum_id = x.spectrum_id AND abs(p.mz - x.t.mz) <= x.t.reach GROUP BY x.spectrum_id, x.t"
+    "SELECT x.spectrum_id, round(sum(p.mz * p.intensity) / sum(p.intensity), 10) AS mz, x.t.intensity AS intensity FROM x JOIN p ON p.spectrum_id = x.spectrum_id AND abs(p.mz - x.t.mz) <= x.t.reach GROUP BY x.spectrum_id, x.t"
 )
 def peak_clusters(s, d):
     own = ingest.clustered(_array_rows(s, d), 20_000.0)
-    return own.select("spectrum_id", F.inline(F.arrays_zip("mz", "intensity"))).select("spectrum_id", F.round("mz", 6).alias("mz"), "intensity")
+    return own.select("spectrum_id", F.inline(F.arrays_zip("mz", "intensity"))).select("spectrum_id", F.round("mz", 10).alias("mz"), "intensity")
 
 
 @query(" SELECT * FROM pk")

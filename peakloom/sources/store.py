@@ -68,12 +68,17 @@ def peaks(spark: SparkSession, path: str, min_mz: float = -1, max_mz: float = -1
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            ids, parts = [], []
             for data, encodings in zip(f["data"], f["encodings"], strict=True):
                 own = {int(e["__id"]): Encoding(e["encoding"]["mz"], e["encoding"]["intensity"], e["encoding"]["fitted"], e["encoding"]["big"]) for e in encodings}
                 for spectrum, p in decode(bytes(data), own, min_mz, max_mz):
-                    get = lambda k, p=p: p[k].astype(float) if k in p.dtype.names else np.zeros(len(p))
-                    yield pd.DataFrame({"spectrum_id": np.full(len(p), spectrum, np.int64), "mz": get("mz"), "intensity": get("intensity"), "lhwhm": get("lhwhm"), "rhwhm": get("rhwhm")})
+                    if len(p):
+                        ids.append(np.full(len(p), spectrum, np.int64))
+                        parts.append([p[k].astype(float) if k in p.dtype.names else np.zeros(len(p)) for k in names])
+            if ids:
+                yield pd.DataFrame({"spectrum_id": np.concatenate(ids)} | {k: np.concatenate([x[i] for x in parts]) for i, k in enumerate(names)})
 
+    names = ("mz", "intensity", "lhwhm", "rhwhm")
     return rows.mapInPandas(run, "spectrum_id long, mz double, intensity double, lhwhm double, rhwhm double")
 
 
