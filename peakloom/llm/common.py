@@ -47,7 +47,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def light(df: DataFrame, most: int = 500_000) -> DataFrame:
+#: The most rows of a few narrow columns that are broadcast.
+LIGHT_ROWS = 500_000
+
+
+def light(df: DataFrame, most: int = LIGHT_ROWS) -> DataFrame:
     """Of a kept frame of few narrow columns: marked for broadcast if it has at most so many rows (some 16 MB of two
     numbers each), so that the other side of a join, which may hold texts, isn't shuffled; else as it is."""
     return F.broadcast(df) if df.count() <= most else df

@@ -289,11 +289,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _with_components(sets: DataFrame, whole: DataFrame) -> DataFrame:
     """The result for the documents' sets (doc_id, n_shingles, set_id), given the component of each set (__id, __component,
     members). Sets with a HOT_SHARE of all documents or more, of which there are 1 / HOT_SHARE at most, are broadcast, so
-    that no task gets all copies of one; so are all if they are few."""
+    that no task gets all copies of one."""
     hot = F.col("members") >= F.lit(max(1, int(sets.count() * HOT_SHARE)))
     on = F.col("set_id") == F.col("__id")
     known = sets.where("set_id is not null").join(F.broadcast(whole.where(hot)), on, "left")
-    rest = known.where("__id is null").select("doc_id", "n_shingles", "set_id").join(light(whole.where(~hot)), on)
+    rest = known.where("__id is null").select("doc_id", "n_shingles", "set_id").join(whole.where(~hot), on)
     empty = sets.where("set_id is null").withColumn("__component", F.col("doc_id"))
     columns = ["doc_id", "n_shingles", "__component"]
     out = known.where("__id is not null").select(columns).unionByName(rest.select(columns)).unionByName(empty.select(columns))
@@ -338,7 +338,7 @@ def set_components(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str,
         edges = cut(_pivot_edges(large, sets_of, percent))
         outside = _outside(large, edges)
         blocks = against_open(outside.join(sets_of, outside["node"] == sets_of["set_id"]), "node").select("root", "lo", "hi", "set_id", "shingles")
-        edges = edges.union(each_block(blocks, "root", lambda block: _true_pairs(block, percent)))
+        edges = edges.select("a", "b").union(each_block(blocks, "root", lambda block: _true_pairs(block, percent)))
     small_sets = full(ready)
     blocks = against_open(ready.join(small_sets, ready["node"] == small_sets["set_id"]), "node").select("root", "lo", "hi", "set_id", "shingles")
     found = each_block(blocks, "root", lambda block: _true_pairs(block, percent))
@@ -346,39 +346,38 @@ def set_components(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str,
 
 
 def _pivot_edges(large: DataFrame, sets_of: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between classes of large (node, root) and PIVOTS of their cluster, the ones of least hashes, counted
-    exactly. The pivots' sets are broadcast if they take at most PIVOT_BYTES in all."""
+    """Edges (root, a, b) between classes of large (node, root) and PIVOTS of their cluster, the ones of least hashes,
+    counted exactly. The pivots' sets are broadcast if they take at most PIVOT_BYTES in all."""
     least = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS)]
     pivots = large.groupBy("root").agg(F.array_distinct(F.array(*least)).alias("p")).select(F.col("root").alias("__root"), F.explode("p").alias("pivot"))
     pivots = cut(pivots.join(sets_of.toDF("__id", "other"), F.col("pivot") == F.col("__id")).select("__root", "pivot", "other"))
     weight = pivots.agg(F.sum(F.length("other"))).first()[0] or 0
     members = large.select("node", "root").join(sets_of, F.col("node") == F.col("set_id")).select("node", "root", "shingles")
-    pairs = members.join(F.broadcast(pivots) if weight <= PIVOT_BYTES else pivots, F.col("root") == F.col("__root")).where("node <> pivot").select("node", "pivot", "shingles", "other")
+    pairs = members.join(F.broadcast(pivots) if weight <= PIVOT_BYTES else pivots, F.col("root") == F.col("__root")).where("node <> pivot").select("root", "node", "pivot", "shingles", "other")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for a, b, x, y in zip(f["node"], f["pivot"], f["shingles"], f["other"], strict=True):
+            for root, a, b, x, y in zip(f["root"], f["node"], f["pivot"], f["shingles"], f["other"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
-                    out.append((a, b))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                    out.append((root, a, b))
+            yield pd.DataFrame(out, columns=["root", "a", "b"], dtype="int64")
 
-    return map_pandas(pairs, run, "a long, b long")
+    return map_pandas(pairs, run, "root long, a long, b long")
 
 
 def _outside(large: DataFrame, edges: DataFrame) -> DataFrame:
-    """The classes of large with open: whether they are outside their cluster's largest part by the edges, and open_chunks;
-    clusters that are whole by them are left out."""
-    part = components(edges)
-    known = large.join(part.toDF("__n", "part"), F.col("node") == F.col("__n"), "left").select("node", "root", "chunks", "part")
-    sizes = known.where("part is not null").groupBy("root", "part").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy(F.col("root").alias("__root")).agg(F.max(F.struct("n", "part"))["part"].alias("__part"))
-    marked = known.join(light(cut(largest)), F.col("root") == F.col("__root"), "left").withColumn("open", ~F.col("part").eqNullSafe(F.col("__part")) | F.col("part").isNull())
-    marked = cut(marked.select("node", "root", "chunks", "open"))
-    counts = marked.where("open").groupBy(F.col("root").alias("__root")).agg(F.ceil(F.count("*") / BLOCK).alias("open_chunks"))
-    return marked.join(light(cut(counts)), F.col("root") == F.col("__root")).select("node", "root", "chunks", "open", "open_chunks")
+    """The classes of large with open: whether they are neither the pivot with most edges of their cluster, nor joined to it,
+    nor to a pivot that is; and open_chunks. Clusters without such classes are left out."""
+    main = edges.groupBy("root", "b").count().groupBy("root").agg(F.max(F.struct("count", "b"))["b"].alias("main"))
+    # a pivot's edges with pivots are there both ways
+    near = edges.join(main, "root").where("b = main").select("root", F.col("a").alias("b")).union(main.select("root", F.col("main").alias("b")))
+    joined = edges.join(near, ["root", "b"], "left_semi").select(F.col("a").alias("node")).union(main.select("main")).distinct().withColumn("joined", F.lit(True))
+    marked = cut(large.join(joined, "node", "left").select("node", "root", "chunks", F.col("joined").isNull().alias("open")))
+    counts = marked.where("open").groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("open_chunks"))
+    return marked.join(counts, "root").select("node", "root", "chunks", "open", "open_chunks")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import cut, light
+from peakloom.llm.common import LIGHT_ROWS, cut
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -15,20 +15,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     path. The smallest neighbours are kept apart from the edges, so that a join at the centre of a large star is a
     broadcast, or one whose skewed side Spark can split. Every round is kept in the shared folder. Self loops are dropped; a null end drops the edge."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before, n = None, e.count()
     for _ in range(most_rounds):
+        # a round's tables of smallest neighbours have two rows an edge at most, which says whether they are small
+        small_side = F.broadcast if 2 * n <= LIGHT_ROWS else lambda df: df
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        low = light(cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = small_side(cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
         # now a > b in every row: to each node's smallest neighbour
-        large = cut(large)
-        low = light(cut(large.groupBy("a").agg(F.min("b").alias("m"))))
+        low = small_side(cut(large.groupBy("a").agg(F.min("b").alias("m"))))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         e = cut(small)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     else:
         raise RuntimeError("the components didn't settle")
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
