@@ -20,8 +20,11 @@ repeated rows give repeated results, other columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,9 @@ from peakloom.llm.common import in_slices, map_arrow, text_of
 #: With characters outside these ranges, or the listed control characters, a text is cut by the library's splitter.
 _ODD = regex.compile(r"[\x1c-\x1f\x85ɐ-῿⁰-\U0010ffff]")
 #: Runs of white space that a prefix can cut, as the library sees white space.
-_RUN = regex.compile(r"\p{White_Space}{2,}+")
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
 #: Equal pieces and pairs of tokens are looked up; a process forgets them beyond so many.
-_MOST_PIECES, _MOST_PAIRS = 300_000, 1_000_000
+_MOST_PIECES, _MOST_PAIRS = 1_000_000, 1_000_000
 #: Pieces beyond so many bytes aren't kept.
 _KEPT = 256
 
@@ -63,7 +66,7 @@ class _Steps(dict):
         self.owner = owner
 
     def __missing__(self, piece: str) -> bytes:
-        steps = np.diff(self.owner.piece_counts(piece)).astype(_STEP).tobytes()
+        steps = self.owner.steps(piece)
         if len(piece) <= _KEPT:
             if len(self) >= _MOST_PIECES:
                 self.clear()
@@ -103,7 +106,10 @@ class PrefixCounter:
         self.bytes_of = {i: b for b, i in self.token_of.items()}
         pair = lambda m: m if isinstance(m, list) else m.split(" ")
         self.rank = {tuple(bytes(byte_of[c] for c in side) for side in pair(m)): r for r, m in enumerate(spec["model"]["merges"])}
-        self.longest = max(map(len, self.token_of))
+        self._reach: dict[bytes, int] = {}
+        for token in self.token_of:
+            if len(token) > 3 and self._reach.get(token[-4:], 0) < len(token):
+                self._reach[token[-4:]] = len(token)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.special_strings = tuple(special)
         self.pattern = regex.compile(pattern or public_tokenizers.PATTERN)
@@ -134,14 +140,17 @@ class PrefixCounter:
 
     def table(self, piece: bytes) -> tuple[list[int], list[int]]:
         """For each prefix length from 0: its token count and its last token (-1 at 0)."""
-        count, last, token_of, fits, longest = [0], [-1], self.token_of, self._fits, self.longest
+        count, last, token_of, fits, reach = [0], [-1], self.token_of, self._fits, self._reach.get
         for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = token_of.get(piece[start:end])
-                if token is not None:
-                    ok = fits.get((last[start], token))
+            # no token that ends in these four bytes is longer than reach says
+            low = end - reach(piece[end - 4 : end], 3) if end > 3 else 0
+            for start in range(low if low > 0 else 0, end):
+                part = piece[start:end]
+                if part in token_of:
+                    token, before = token_of[part], last[start]
+                    ok = fits.get((before, token))
                     if ok is None:
-                        ok = self.fits(last[start], token)
+                        ok = self.fits(before, token)
                     if ok:
                         count.append(count[start] + 1)
                         last.append(token)
@@ -150,6 +159,13 @@ class PrefixCounter:
                 raise ValueError("the vocabulary lacks a byte")
         return count, last
 
+    def steps(self, piece: str) -> bytes:
+        """The steps of a piece's prefix counts, one a character."""
+        if piece.isascii() and piece[0] != "'":
+            count = self.table(piece.encode())[0]
+            return array(_STEP.char, map(sub, count[1:], count)).tobytes()
+        return np.diff(self.piece_counts(piece)).astype(_STEP).tobytes()
+
     def piece_counts(self, piece: str) -> np.ndarray:
         """Token counts of a piece's prefixes, by characters from 0. A contraction is the one kind of piece of which a
         part is cut further."""
@@ -247,6 +263,8 @@ class PrefixTable:
     def longest_within(self, budget: int) -> int:
         """The most characters from the start of which the text takes at most budget tokens. Counts may fall from one
         character to the next, so it is the last place, not the first."""
+        if self.counts[-1] <= budget:
+            return len(self.counts) - 1
         return int(np.flatnonzero(self.counts <= budget)[-1]) if budget >= 0 else 0
 
     def chars_at(self, tokens: int) -> int:
