@@ -196,7 +196,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def pii_digest(found: DataFrame) -> DataFrame:
-    """Counts, the digest of the base spans and the list of all spans, from find_pii()'s rows."""
+    """Counts, the digest of the base spans, the list of all spans, whether there is any and the highest score (null without
+    spans), from find_pii()'s rows."""
     text = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
@@ -205,6 +206,9 @@ def pii_digest(found: DataFrame) -> DataFrame:
         F.sha2(text(F.filter("spans", lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
         *map(count, ADDED),
+        F.size("spans").cast("long").alias("n_spans"),
+        (F.size("spans") > 0).alias("has_personal_data"),
+        F.array_max(F.transform("spans", lambda s: s["score"])).alias("top_score"),
     )
 
 

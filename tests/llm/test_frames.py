@@ -112,6 +112,7 @@ def test_pii(docs, empty):
         n = [sum(s[2] == k for s in spans) for k in pii.BASE]
         want.append((r[0], *n, hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()))
     _same([tuple(r)[:6] for r in got], want)
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) and r.has_personal_data == (r.n_spans > 0) == (r.top_score is not None) for r in got)
     assert pii.pii_digest(pii.find_pii(empty)).count() == 0
 
 
