@@ -69,7 +69,8 @@ def dense(vectors: DataFrame, first_mz: float = 400.0, step: float = 0.5) -> Dat
     return vectors.select("vec_id", "label", F.transform("embedding", lambda v, i: F.struct((F.lit(first_mz) + F.lit(step) * i).alias("mz"), v.cast("double").alias("intensity"))).alias("peaks"))
 
 
-def base_peak(peaks: DataFrame, key: str = "spectrum_id") -> DataFrame:
-    """The first most intense peak above 0 (0.0 if there is none) and the summed intensity of each spectrum."""
+def base_peak(peaks: DataFrame, key: str = "spectrum_id", more: dict[str, Column] | None = None) -> DataFrame:
+    """The first most intense peak above 0 (0.0 if there is none) and the summed intensity of each spectrum, and more sums
+    by name."""
     top = F.max(F.when(F.col("intensity") > 0, F.struct("intensity", (-F.col("mz")).alias("m"))))
-    return peaks.groupBy(key).agg(top.alias("t"), F.sum("intensity").alias("tic")).select(key, F.coalesce(-F.col("t.m"), F.lit(0.0)).alias("base_mz"), F.coalesce("t.intensity", F.lit(0.0)).alias("base_intensity"), "tic")
+    return peaks.groupBy(key).agg(top.alias("t"), F.sum("intensity").alias("tic"), *[v.alias(k) for k, v in (more or {}).items()]).select(key, F.coalesce(-F.col("t.m"), F.lit(0.0)).alias("base_mz"), F.coalesce("t.intensity", F.lit(0.0)).alias("base_intensity"), "tic", *(more or {}))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from peakloom.functions import cv, dates, thermo, xmlparams
 from peakloom.operators import ingest, precursor, ranges, spectra, stats, tiling, xic
 from peakloom.plans import adapters
-from peakloom.session import local_file, table
-from peakloom.sources import codec, mgf, sqlite, store
+from peakloom.session import local_folder, table
+from peakloom.sources import codec, mgf, store
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -794,10 +794,10 @@ def store_header_params(s, d):
 
 
 def _stored_run(s, d) -> str:
-    """The path of a store of all spectra and peaks, written for the query that asks for it."""
-    path = local_file(s, "run.sqlite")
+    """The path of a store, in parts, of all spectra and peaks, written for the query that asks for it."""
+    path = local_folder(s)
     p, h = _both(s, d)
-    store.write(adapters.with_cycle(h), p, path, codec.Encoding(64, 64, fitted=True), info=store.RunInfo("own run", "2020-01-02T03:04:05Z", "SWATH", "own sample", "own instrument", (("reader", "1"), ("own converter", "2"))))
+    store.write_parts(adapters.with_cycle(h), p, path, codec.Encoding(64, 64, fitted=True), info=store.RunInfo("own run", "2020-01-02T03:04:05Z", "SWATH", "own sample", "own instrument", (("reader", "1"), ("own converter", "2"))))
     return path
 
 
@@ -806,7 +806,7 @@ _FULL = "(SELECT * FROM sp WHERE id IN (SELECT spectrum_id FROM pk))"
 
 @query(" SELECT id, time, ms_level, cycle, CASE WHEN ms_level = 2 THEN (iso_min + iso_max) / 2 END AS main_precursor_mz, n AS data_points_count, t AS tic FROM " + _FULL + " f JOIN (SELECT spectrum_id, count(*) AS n, sum(intensity) AS t FROM pk GROUP BY spectrum_id) c ON c.spectrum_id = f.id")
 def store_headers(s, d):
-    own = store.headers(s, _stored_run(s, d))
+    own = store.headers(s, _stored_run(s, d), ["id", "time", "ms_level", "cycle", "main_precursor_mz", "data_points_count", "tic"])
     return own.select("id", "time", _int("ms_level"), "cycle", "main_precursor_mz", "data_points_count", "tic")
 
 
@@ -825,8 +825,8 @@ def store_peaks(s, d):
 def store_tiles(s, d):
     """Tiles by their run slice and spectra: cut by the sizes of their level, in rows anchored at their first spectrum."""
     path = _stored_run(s, d)
-    slices = sqlite.table(s, path, "run_slice").select(F.col("id").alias("slice"), "ms_level", "begin_mz")
-    own = sqlite.table(s, path, "bounding_box").join(slices, F.col("run_slice_id") == F.col("slice"))
+    slices = store.table(s, path, "run_slice").select(F.col("id").alias("slice"), "ms_level", "begin_mz")
+    own = store.table(s, path, "bounding_box", ["run_slice_id", "first_spectrum_id", "last_spectrum_id"]).join(slices, F.col("run_slice_id") == F.col("slice"))
     return own.groupBy("ms_level", "begin_mz", "first_spectrum_id", "last_spectrum_id").agg(F.count("*").alias("n"))
 
 

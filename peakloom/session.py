@@ -36,15 +36,20 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"peakloom-{os.getuid()}")
 
 
-def local_file(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder for a file that isn't Spark's own (SQLite): a path of a file system that all
-    machines have mounted, so the folder must be one."""
+def local_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one for files that aren't Spark's own (SQLite): a path of a file system that all
+    machines have mounted, so the shared folder must be one."""
     folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
     if "://" in folder:
         raise RuntimeError("a SQLite file needs a shared folder that is mounted")
     path = os.path.join(folder, f"files-{uuid.uuid4().hex}")
     os.makedirs(path)
-    return os.path.join(path, name)
+    return path
+
+
+def local_file(spark: SparkSession, name: str) -> str:
+    """A new path for a file in such a folder."""
+    return os.path.join(local_folder(spark), name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -174,3 +174,45 @@ def test_sql_views(spark, sf):
     sql.register(spark, sf)
     n = sql.query(spark, "SELECT count(*) FROM v_spectrum WHERE ms_level = :level AND time <= :until", level=1, until=100.0)
     assert sql.single(n) == 101 and sql.single(sql.query(spark, "SELECT id FROM v_spectrum WHERE id < 0")) is None
+
+
+def test_store_in_parts(spark, sf, tmp_path):
+    """Parts are stores of whole time rows that read as the one file does, tile for tile."""
+    spectra, peaks = adapters.spectra(spark, sf).where("id < 400"), adapters.peaks(spark, sf).where("spectrum_id < 400")
+    info, one, many = store.RunInfo("own", acquisition_mode="SWATH"), str(tmp_path / "one.sqlite"), str(tmp_path / "parts")
+    store.write(spectra, peaks, one, Encoding(64, 64, fitted=True), info=info)
+    assert len(store.write_parts(spectra, peaks, many, Encoding(64, 64, fitted=True), info=info, part_peaks=200)) > 3
+    for name in ("spectrum", "run_slice", "software"):
+        assert sorted(map(tuple, store.table(spark, many, name).collect())) == sorted(map(tuple, store.table(spark, one, name).collect()))
+    tiles = lambda path: store.table(spark, path, "bounding_box").collect()
+    own, whole = tiles(many), tiles(one)
+    assert sorted((bytes(t.data), *t[2:]) for t in own) == sorted((bytes(t.data), *t[2:]) for t in whole) and len({t.id for t in own}) == len(own)
+    for a, b in ((-1, -1), (100.0, 500.0), (300.0, -1)):
+        assert sorted(map(tuple, store.peaks(spark, many, a, b).collect())) == sorted(map(tuple, store.peaks(spark, one, a, b).collect()))
+    assert sorted(map(tuple, store.peaks(spark, many).collect())) == sorted(map(tuple, peaks.select("spectrum_id", "mz", "intensity", F.col("lhwhm").cast("float").cast("double"), F.col("rhwhm").cast("float").cast("double")).collect()))
+    assert store.run_metadata(spark, many).first().run == "own" and store.tile(spark, many, own[-1].id).count() == 1
+    with pytest.raises(FileExistsError):
+        store.write_parts(spectra, peaks, many)
+    empty = store.write_parts(spectra, peaks.where("false"), str(tmp_path / "empty"))
+    assert len(empty) == 1 and store.peaks(spark, str(tmp_path / "empty")).count() == store.headers(spark, empty[0]).count() == 0
+
+
+@pytest.mark.parametrize("encoding", [Encoding(64, 32), Encoding(32, 32, fitted=True, big_endian=True)])
+def test_tiles_at_once(encoding):
+    import numpy as np
+
+    from peakloom.sources.codec import decode, decode_tiles_at_once, encode, encode_tiles
+
+    ids, starts, lengths = np.array([5, 7, 9, 4]), np.array([0, 3]), np.array([3, 1])
+    tile, place = np.array([1, 0, 0, 0, 2]), np.array([1, 2, 0, 2, 0])
+    peaks = np.zeros(5, encoding.peak)
+    peaks["mz"], peaks["intensity"] = [3.0, 2.5, 1.0, 1.5, 8.0], [1, 2, 3, 4, 5]
+    own = encode_tiles(tile, place, peaks, np.array([0, 0, 1]), starts, lengths, ids, encoding)
+    none = peaks[:0]
+    assert [bytes(b) for b in own] == [encode(x, encoding) for x in ([(5, peaks[2:3]), (7, none), (9, peaks[[3, 1]])], [(5, none), (7, peaks[:1]), (9, none)], [(4, peaks[4:])])]
+    for limits in ((-1, -1), (1.5, 3.0), (2.0, -1)):
+        want = [(i, tuple(p)) for b in own for i, ps in decode(bytes(b), encoding, *limits) for p in ps]
+        got_ids, got = decode_tiles_at_once([bytes(b) for b in own], encoding, *limits)
+        assert sorted(zip(got_ids.tolist(), map(tuple, got), strict=True)) == sorted(want)
+    with pytest.raises(ValueError):
+        decode_tiles_at_once([bytes(own[0])[:-4]], encoding)
